@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirel.session import table
 
-from . import garbled, unicode_form
+from . import garbled, quality, splitting, unicode_form
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,8 +51,37 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return unicode_form.normalize_forms(texts.unionByName(elems).where("t IS NOT NULL"), ["tbl", "rec_id"], "t")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    res = table(spark, d, "pdf_result").select("result_id", "markdown")
+    kinds = quality.text_kinds(res, "result_id", "markdown").where("kind <> 'prose'")
+    bad = _garbled_results(spark, d).select(F.col("result_id").alias("id"))
+    return kinds.join(bad, "id", "left_anti").select(F.col("id").alias("result_id"), "kind").distinct()
+
+
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_kinds(table(spark, d, "pdf_result"), "result_id", "markdown").withColumnRenamed("id", "result_id")
+
+
+def p1_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pdf_result").select("result_id", *[c.alias(k) for k, c in quality.basic_stats(F.col("markdown")).items()])
+
+
+def _p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    res = table(spark, d, "pdf_result").select(F.lit("pdf_result").alias("tbl"), F.col("result_id").alias("rec_id"), F.lit(-1).alias("block_no"), F.col("markdown").alias("t"))
+    blocks = table(spark, d, "doc_block").select(F.lit("doc_block").alias("tbl"), F.col("file_id").alias("rec_id"), "block_no", F.col("text").alias("t"))
+    return splitting.split_oversized(res.unionByName(blocks), ["tbl", "rec_id", "block_no"], "t", table(spark, d, "split_limit"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4_pieces(spark, d).select("tbl", "rec_id", "block_no").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _p4_pieces(spark, d)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
