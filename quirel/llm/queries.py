@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirel.session import table
 
-from . import garbled, quality, splitting, unicode_form
+from . import garbled, neardup, quality, splitting, unicode_form
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,8 +80,20 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _p4_pieces(spark, d)
 
 
+def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.similar(table(spark, d, "pdf_result"), "result_id", "title", "markdown", size=3, threshold=0.6, min_words=30)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.record_pairs(*_p5(spark, d))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.components(*_p5(spark, d)).select(F.col("id").alias("result_id"), "group_id", "n_links")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
+    return {f.__name__: f for f in (p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
