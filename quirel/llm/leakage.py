@@ -1,7 +1,8 @@
 """Problem 6: passages of test items inside a corpus of scanned pages.
 
 Method: a distributed positional inverted index. Each page, in its own reading order, gives postings (term, page,
-position) for the terms of the test items, stored as a table in the shared folder. From the document frequencies over
+position) for the terms of the test items, stored as a table in the shared folder, partitioned by page so that lists meet
+without a shuffle. From the document frequencies over
 all pages every window of the least passage gets its rarest terms as anchors; the postings of the anchors, shifted by
 the anchor's place in the item, are intersected, and where they meet the phrase is followed word by word in both
 directions, misread letters, broken and run-together words allowed.
@@ -30,6 +31,10 @@ from .reading import page_lines, running_words
 
 #: Words that must stand in a row, anchors of each window of that length, and most words of test items broadcast at once.
 PASSAGE, ANCHORS, BLOCK_WORDS = 20, 3, 1_000_000
+#: Offsets of two anchors of one passage differ by this much at most (words broken or run together shift them).
+DRIFT = 4
+#: Weight of anchors that must meet before a phrase is followed.
+ENOUGH = 4.0
 #: Words of a page that may be skipped (an insert, a heading) inside a passage.
 SKIP = 60
 # Classes of letters that scanners confuse, each written with its first letter.
@@ -75,8 +80,8 @@ def near(a: str, b: str, memo: dict[tuple[str, str], bool]) -> bool:
     return got
 
 
-def follow(doc: list[str], item: list[str], i: int, j: int, step: int, memo: dict[tuple[str, str], bool]) -> int:
-    """Item words matched in a row going from (doc i, item j) in the given direction, (i, j) included."""
+def follow(doc: list[str], item: list[str], i: int, j: int, step: int, memo: dict[tuple[str, str], bool]) -> tuple[int, int, int]:
+    """(item words matched in a row, doc place, item place after them), from (doc i, item j) in the given direction."""
     n, m, count = len(doc), len(item), 0
     while 0 <= j < m and 0 <= i < n:
         if near(doc[i], item[j], memo):
@@ -90,12 +95,50 @@ def follow(doc: list[str], item: list[str], i: int, j: int, step: int, memo: dic
         elif 0 <= i2 < n and len(doc[i]) <= 2 and near(doc[i2], item[j], memo):
             i, j, count = i2 + step, j + step, count + 1
         else:
-            # An insert: the passage goes on where the next three item words stand together.
-            k = next((k for k in range(1, SKIP) if 0 <= j + 2 * step < m and 0 <= i + (k + 2) * step < n and all(near(doc[i + (k + t) * step], item[j + t * step], memo) for t in range(3))), None)
+            break
+    return count, i, j
+
+
+def passage(doc: list[str], item: list[str], at: int, p: int, memo: dict[tuple[str, str], bool]) -> int:
+    """Item words in a row around a meeting of the page's word at and the item's word p.
+
+    A passage of some length may be interrupted by an insert: it goes on where the next three item words stand together.
+    """
+    right, ri, rj = follow(doc, item, at, p, 1, memo)
+    if not right:
+        return 0
+    left, li, lj = follow(doc, item, at - 1, p - 1, -1, memo)
+    total = right + left
+    for step, i, j in ((1, ri, rj), (-1, li, lj)):
+        while total >= 8 and 0 <= j + 2 * step < len(item):
+            three = [item[j], item[j + step], item[j + 2 * step]]
+            k = next((k for k in range(1, SKIP) if 0 <= i + (k + 2) * step < len(doc) and all(near(doc[i + (k + t) * step], three[t], memo) for t in range(3))), None)
             if k is None:
                 break
-            i += k * step
-    return count
+            more, i, j = follow(doc, item, i + k * step, j, step, memo)
+            total += more
+    return total
+
+
+def meetings(hits: list[tuple[int, int, int, int, float]]) -> Iterator[tuple[int, int, int]]:
+    """(item, place on the page, place in the item) where anchors of an item meet at nearly the same offset.
+
+    hits: (item, offset, place in the item, place on the page, weight). Different anchors whose weights (the negative log
+    of the share of pages with the term) reach ENOUGH are evidence: chance alone rarely brings them together.
+    """
+    hits.sort()
+    n, k = len(hits), 0
+    while k < n:
+        item, off, _, _, _ = hits[k]
+        e = k + 1
+        while e < n and hits[e][0] == item and hits[e][1] - off <= DRIFT:
+            e += 1
+        if e - k > 1:
+            weights = {h[2]: h[4] for h in hits[k:e]}
+            if len(weights) > 1 and sum(weights.values()) >= ENOUGH:
+                for _, _, p, at, _ in hits[k:e]:
+                    yield item, at, p
+        k += 1
 
 
 def anchors(items: dict[int, list[str]], freq: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
@@ -121,7 +164,9 @@ def build_index(docs: DataFrame, vocabulary: dict[str, int], key: str, text: str
             rows = []
             for i, t, x, y, w in pdf.itertuples(index=False, name=None):
                 words, terms, at = [], [], []
-                for raw in running_words(page_lines(t, x, y, w), True):
+                raws, ends = running_words(page_lines(t, x, y, w), True)
+                last = set(ends)
+                for n, raw in enumerate(raws):
                     got = known.get(raw)
                     if got is None:
                         if len(known) > 400_000:
@@ -133,61 +178,54 @@ def build_index(docs: DataFrame, vocabulary: dict[str, int], key: str, text: str
                             terms.append(got[1])
                             at.append(len(words))
                         words.append(got[0])
-                # A word broken without a sign leaves two halves; together they may be a term.
-                for k in range(len(words) - 1):
-                    if len(words[k]) > 2 and (n := number.get(term(words[k] + words[k + 1]))) is not None:
-                        terms.append(n)
-                        at.append(k)
+                        # A word broken at a line end without a sign leaves two halves; together they may be a term.
+                        if n in last and n + 1 < len(raws) and len(got[0]) > 2:
+                            k = number.get(term(got[0] + plain(raws[n + 1])))
+                            if k is not None:
+                                terms.append(k)
+                                at.append(len(words) - 1)
                 rows.append((i, " ".join(words), terms, at))
             yield pd.DataFrame(rows, columns=["id", "words", "terms", "at"])
 
     return cut(recs.mapInPandas(run, f"id {recs.schema['id'].dataType.simpleString()}, words string, terms array<int>, at array<int>"), "p6-index")
 
 
-def _search(docs: DataFrame, items: dict[int, list[str]], key: str, text: str, boxes: str) -> DataFrame:
+def _search(docs: DataFrame, items: dict[int, list[str]], key: str, text: str, boxes: str, least: int) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = {t: n for n, t in enumerate(sorted({term(w) for ws in items.values() for w in ws}))}
     index = build_index(docs, vocabulary, key, text, boxes)
     names = list(vocabulary)
     # Document frequencies of the block's terms only: as many rows as the block has terms.
     freq = index.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    chosen = anchors(items, {names[t]: n for t, n in zip(freq["t"], freq["n"])})
-    place = [(vocabulary[t], i, p) for t, v in chosen.items() for i, p in v]
-    anchor = spark.createDataFrame(pd.DataFrame(place, columns=["t", "item", "p"], dtype="int64").astype({"t": "int32", "p": "int32"}), "t int, item long, p int")
-    posts = index.select("id", F.explode(F.arrays_zip("terms", "at")).alias("z")).select("id", F.col("z.terms").alias("t"), F.col("z.at").alias("at"))
-    # Offset-adjusted lists: postings of one item on one diagonal (to a few words) meet; the rarest anchors lead.
-    meet = posts.join(F.broadcast(anchor), "t").select("id", "item", "at", "p")
-    found = meet.groupBy("id").agg(F.collect_list(F.struct("item", "at", "p")).alias("hits"))
-    shared = spark.sparkContext.broadcast(items)
-    both = found.join(index.select("id", "words"), "id")
+    pages = max(1, index.count())
+    seen = {names[t]: n for t, n in zip(freq["t"], freq["n"])}
+    place = {vocabulary[t]: [(i, p, float(np.log(pages / max(1, seen.get(t, 0))))) for i, p in v] for t, v in anchors(items, seen).items()}
+    shared = spark.sparkContext.broadcast((items, place))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tests, memo = shared.value, {}
+        (tests, lists), memo = shared.value, {}
         for pdf in batches:
             rows = []
-            for i, hits, words in zip(pdf["id"], pdf["hits"], pdf["words"]):
-                doc = words.split(" ")
+            for i, words, terms, ats in pdf.itertuples(index=False, name=None):
+                # Offset-adjusted lists of this page, one entry for each posting of an anchor.
+                hits = [(item, at - p, p, at, w) for t, at in zip(terms.tolist(), ats.tolist()) if t in lists for item, p, w in lists[t]]
                 best: dict[int, int] = {}
-                done: set[tuple[int, int]] = set()
-                for h in hits:
-                    item, at, p = h["item"], h["at"], h["p"]
-                    if best.get(item, 0) >= PASSAGE or (item, at - p) in done:
+                tried: set[tuple[int, int]] = set()
+                doc = None
+                for item, at, p in meetings(hits):
+                    if best.get(item, 0) >= least or (item, at - p) in tried:
                         continue
-                    done.add((item, at - p))
-                    ws = tests[item]
-                    right = follow(doc, ws, at, p, 1, memo)
-                    if not right:
-                        continue
-                    n = right + follow(doc, ws, at - 1, p - 1, -1, memo)
-                    best[item] = max(n, best.get(item, 0))
-                rows += [(i, item, n) for item, n in best.items() if n >= PASSAGE]
+                    tried.add((item, at - p))
+                    doc = doc or words.split(" ")
+                    best[item] = max(passage(doc, tests[item], at, p, memo), best.get(item, 0))
+                rows += [(i, item, n) for item, n in best.items() if n >= least]
             yield pd.DataFrame(rows, columns=["id", "item_id", "n_words"])
 
-    return both.mapInPandas(run, f"id {index.schema['id'].dataType.simpleString()}, item_id long, n_words int")
+    return index.mapInPandas(run, f"id {index.schema['id'].dataType.simpleString()}, item_id long, n_words int")
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", boxes: str = "line_boxes", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, n_words): pages that hold at least PASSAGE words in a row of an item's text."""
+def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", boxes: str = "line_boxes", item_key: str = "item_id", item_text: str = "text", least: int = PASSAGE) -> DataFrame:
+    """(id, item_id, n_words): pages that hold at least `least` words in a row of an item's text (the anchors are laid for PASSAGE)."""
     its = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("s")).where("s <> ''").dropDuplicates(["i"])
     total = its.select(F.sum(F.char_length("s"))).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_WORDS * 4)))
@@ -196,7 +234,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
         rows = its.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toPandas()
         block = {int(i): ws for i, s in zip(rows["i"], rows["s"]) if len(ws := [p for p in map(plain, s.split()) if p]) >= PASSAGE}
         if block:
-            parts.append(_search(docs, block, key, text, boxes))
+            parts.append(_search(docs, block, key, text, boxes, least))
     if not parts:
         return docs.sparkSession.createDataFrame([], f"id {docs.schema[key].dataType.simpleString()}, item_id long, n_words int")
     out = parts[0]

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from statistics import median
 
 #: Lines whose left edges differ by more than this (in boxes' units) stand in different columns; beyond INDENT they are set in.
 COLUMN_GAP, INDENT = 50, 9
 # A market-list line is a short label, a leader and figures (letters stand for misread figures).
 MARKET = re.compile(r"^[^\W\d_][^,;:!?]{1,30}?(?:\s*\.{3,}|…|(?:\s\.){2,}|\s+[—–]|\s{2,})[\s.,]*[\dOIlSBZoi]{1,5}(?:\s+[\dOIlSBZoi]{1,5})*[\s.,]*$")
+FIGURES = frozenset("0123456789OIlSBZoi")
 SPLIT = re.compile(r"\s{2,}")
 
 
@@ -70,17 +70,22 @@ def page_lines(text: str | None, xs, ys, ws) -> list[tuple[str, bool]]:
     return [(p[3], p[4]) for p in placed]
 
 
-def width(ws, lines) -> float:
-    """Usual width of a character."""
-    return median([w / max(1, len(x)) for w, x in zip(ws, lines)] or [1.0])
+def is_market(x: str) -> bool:
+    """Whether a line belongs to a market list; most lines are told by a look at their ends."""
+    return x.rstrip(" .,")[-1:] in FIGURES and (".." in x or "  " in x or " ." in x or "—" in x or "–" in x or "…" in x) and MARKET.match(x) is not None
 
 
-def running_words(lines: list[tuple[str, bool]], drop_inserts: bool) -> list[str]:
-    """White-space words of the page with words broken at line ends joined; adverts and market lists left out if wanted."""
+def running_words(lines: list[tuple[str, bool]], drop_inserts: bool) -> tuple[list[str], list[int]]:
+    """White-space words of the page, words broken at line ends joined, and the places of words that end a line unbroken.
+
+    Adverts (lines set in) and market lists are left out if wanted.
+    """
     out: list[str] = []
+    ends: list[int] = []
     carry = ""
-    kept = [x for x, inset in lines if not (drop_inserts and (inset or MARKET.match(x)))]
-    for x in kept:
+    for x, inset in lines:
+        if drop_inserts and (inset or is_market(x)):
+            continue
         words = x.split()
         if not words:
             continue
@@ -89,7 +94,10 @@ def running_words(lines: list[tuple[str, bool]], drop_inserts: bool) -> list[str
             carry = ""
         if len(words[-1]) > 1 and words[-1][-1] in "-=¬\xad‐":
             carry = words.pop()[:-1]
-        out += words
+            out += words
+        else:
+            out += words
+            ends.append(len(out) - 1)
     if carry:
         out.append(carry)
-    return out
+    return out, ends
