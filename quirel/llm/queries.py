@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirel.session import table
 
-from . import garbled, leakage, neardup, quality, splitting, unicode_form
+from . import garbled, leakage, mixing, neardup, quality, splitting, unicode_form
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,8 +100,16 @@ def p6_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).withColumnRenamed("id", "doc_id")
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
+    return {f.__name__: f for f in (p7_mixture, p7_shares, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
