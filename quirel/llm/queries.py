@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirel.session import table
 
-from . import garbled, leakage, mixing, neardup, quality, splitting, unicode_form
+from . import garbled, language, leakage, mixing, neardup, quality, splitting, unicode_form
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,8 +108,28 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
 
+def _p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.stretches(docs, language.train(docs, table(spark, d, "lang_alias")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = language.page_languages(_p8_segments(spark, d)).where("share >= 0.15").select(F.col("id").alias("doc_id"), "lang")
+    alias = table(spark, d, "lang_alias").select(F.col("alias").alias("label"), F.col("lang").alias("named")).dropDuplicates(["label"])
+    labels = table(spark, d, "documents").select("doc_id", F.col("lang").alias("label")).join(F.broadcast(alias), "label").select("doc_id", F.col("named").alias("lang"))
+    return found.join(labels, ["doc_id", "lang"], "left_anti").distinct()
+
+
+def p8_pages(spark: SparkSession, d: str) -> DataFrame:
+    return language.page_languages(_p8_segments(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _p8_segments(spark, d).withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 6))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p7_mixture, p7_shares, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
+    return {f.__name__: f for f in (p8_found, p8_pages, p8_stretches, p7_mixture, p7_shares, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
