@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import layout_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [text_queries, layout_queries]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: q for m in MODULES for k, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, (_, s) in m.QUERIES.items() if s}
