@@ -244,12 +244,16 @@ class Walker:
             if ordered:
                 k = number(c.attrs.get("value"), k)
             boxes = [x for x in c.children if isinstance(x, Node) and x.tag == "input" and x.attrs.get("type") == "checkbox"]
-            item = Item(inner or [Block("paragraph")], "checked" in boxes[0].attrs if boxes else None, f"{k}." if ordered and k < 1 else None)
+            item = Item(inner or [Block("paragraph")], "checked" in boxes[0].attrs if boxes else None)
             if out and (not ordered or last is not None and k == last + 1):
                 out[-1].items.append(item)
             else:
                 out.append(Block("list", ordered=kind, start=k, items=[item]))
             last, k = k, k + step
+        for b in out:
+            # Markdown can't number from below one, so such a list gets its numbers as text.
+            for i, item in enumerate(b.items):
+                item.label = f"{b.start + i}." if ordered and b.start < 1 else None
         return out
 
     def table(self, n: Node, st: dict, out: list[Block]) -> None:
