@@ -299,11 +299,12 @@ def repair(df: DataFrame, keys: list[str], text: str, pairs: tuple[np.ndarray, n
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ps, memo = PairScores(*shared.value), {}
         for pdf in batches:
-            got = [repair_text(t, ps, memo) for t in pdf["__t"]]
-            at = [i for i, g in enumerate(got) if g[2]]
-            res = pdf.iloc[at][names].reset_index(drop=True)
-            res["codec"], res["places"], res["lost"], res["repaired"] = [got[i][1] for i in at], [got[i][2] for i in at], [got[i][3] for i in at], [got[i][0] for i in at]
-            yield res.astype({"places": "int32", "lost": "bool"})
+            rows = []
+            for r in pdf.itertuples(index=False, name=None):
+                fixed, codec, places, lost = repair_text(r[-1], ps, memo)
+                if places:
+                    rows.append((*r[:-1], codec, places, bool(lost), fixed))
+            yield pd.DataFrame(rows, columns=[*names, "codec", "places", "lost", "repaired"])
 
     return recs.mapInPandas(run, schema).select(*[F.col(a).alias(k) for k, a in zip(keys, names)], "codec", "places", "lost", "repaired")
 

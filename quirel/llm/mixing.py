@@ -48,7 +48,7 @@ def count_tokens(docs: DataFrame, key: str, text: str, source: str, path: str) -
         enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) for t in pdf["t"]]
-            yield pdf[["id", "source", "h"]].assign(n=n)
+            yield pdf[["id", "source", "h"]].astype(object).assign(n=n)
 
     return recs.mapInPandas(run, f"id {recs.schema['id'].dataType.simpleString()}, source string, h long, n long").where("n > 0")
 
