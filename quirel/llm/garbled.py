@@ -33,6 +33,10 @@ PUNCT = "‘’‚“”„–—…«»‹›°§£¿¡€™•·©®ªº´¨
 WRONG_FOR_UTF8 = ("cp1252", "cp437", "mac_roman", "cp1250", "cp850", "iso8859_15", "cp1254", "cp1257", "mac_latin2")
 #: (read as, really) for one-byte text.
 ONE_BYTE = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp850", "cp1252"), ("cp437", "cp1252"))
+# What a lead byte's letter stands for once its second character was dropped, and general punctuation.
+AFTER_LEAD = {"Ã": list("àíÁÍÏÐÝ"), "Â": list(" ­")}
+QUOTES = list("‘’“”–—…•")
+DANGLING = re.compile(r"[a-zß-öø-ÿ][ÃÂ](?![A-ZÀ-Þ])|^Ã(?=\W*$)")
 NON_ASCII = re.compile(r"[^\x00-\x7F]")
 # Spaces and hidden characters, which problem 3 treats.
 KEEP = "\xa0\xad\u200b\u200c\u200d\u2060\ufeff"
@@ -121,8 +125,14 @@ class PairScores:
             self.one[k >> 21] = self.one.get(k >> 21, 0) + n
 
     def logp(self, a: str, b: str) -> float:
-        n = self.n.get(ord(a) << 21 | ord(b), 0)
-        return float(np.log2((n + 0.02) / (self.one.get(ord(a), 0) + 2.0)))
+        return float(np.log2((self.n.get(ord(a) << 21 | ord(b), 0) + 0.02) / self.total))
+
+    def seen(self, a: str, b: str) -> bool:
+        return ord(a) << 21 | ord(b) in self.n
+
+    def fill(self, before: str, options: list[str], after: str) -> str:
+        """The option that goes best between two characters."""
+        return max(options, key=lambda c: self.logp(before, c) + self.logp(c, after))
 
     def improbable(self, a: str, b: str) -> float:
         """Positive for a pair that contributes little to the corpus' mutual information.
@@ -176,8 +186,16 @@ def pair_scores(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return top["pair"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
-def one_byte_fixes(tok: str, ps: PairScores) -> dict[str, tuple[float, str, int]]:
-    """Charset pair -> (gain, repaired token, places): the one-byte mappings that make the token's pairs far more probable."""
+def firm(tok: str, new: str) -> bool:
+    """Whether each changed letter stands as only a wrong decoding puts it: no capital made small without a small letter beside it."""
+    for i, (a, b) in enumerate(zip(tok, new)):
+        if a != b and a.isupper() and b.islower() and not any(x.isascii() and x.islower() for x in tok[max(0, i - 1) : i + 2]):
+            return False
+    return sum(c.isalnum() for c in new) > 1
+
+
+def one_byte_fixes(tok: str, ps: PairScores) -> dict[str, tuple[float, str, int, bool]]:
+    """Charset pair -> (gain, repaired token, places, firm): one-byte mappings that make the token's pairs far more probable."""
     padded, found = f" {tok} ", {}
     for wrong, right in ONE_BYTE:
         table = to_byte(wrong)
@@ -191,7 +209,7 @@ def one_byte_fixes(tok: str, ps: PairScores) -> dict[str, tuple[float, str, int]
                 r = bytes([b]).decode(right)
             except UnicodeDecodeError:
                 r = ""
-            if not r or not good_char(r) or r in KEEP:
+            if not r or not good_char(r) or r in KEEP or r in "ÃÂ":
                 n = 0
                 break
             new.append(r)
@@ -202,14 +220,13 @@ def one_byte_fixes(tok: str, ps: PairScores) -> dict[str, tuple[float, str, int]
         pairs = [i for i in range(len(padded) - 1) if padded[i] != s[i] or padded[i + 1] != s[i + 1]]
         if not pairs:
             continue
-        after = [ps.logp(s[i], s[i + 1]) for i in pairs]
-        gain = (sum(after) - sum(ps.logp(padded[i], padded[i + 1]) for i in pairs)) / len(pairs)
-        if gain > GAIN and min(after) > -13:
-            found[f"{right} as {wrong}"] = (gain, s[1:-1], n)
+        gain = (sum(ps.logp(s[i], s[i + 1]) for i in pairs) - sum(ps.logp(padded[i], padded[i + 1]) for i in pairs)) / len(pairs)
+        if gain > GAIN and all(ps.seen(s[i], s[i + 1]) for i in pairs):
+            found[f"{right} as {wrong}"] = (gain, s[1:-1], n, firm(tok, s[1:-1]))
     return found
 
 
-def repair_token(tok: str, ps: PairScores) -> tuple[str, str | None, int, bool, dict[str, tuple[float, str, int]]]:
+def repair_token(tok: str, ps: PairScores) -> tuple[str, str | None, int, bool, dict[str, tuple[float, str, int, bool]]]:
     """(repaired token, charset, repaired places, whether characters were lost, one-byte mappings to choose from)."""
     padded = f" {tok} "
     runs = [(a, b) for a, b in segments([ps.improbable(x, y) for x, y in zip(padded, padded[1:])]) if NON_ASCII.search(padded[a : b + 1])]
@@ -242,19 +259,28 @@ def repair_token(tok: str, ps: PairScores) -> tuple[str, str | None, int, bool,
         out.append(padded[at:a] + fixed)
         at = b
     if places:
-        text = ("".join(out) + padded[at:])[1:-1]
-        return text, codec, places, lost or "\ufffd" in text, {}
+        whole = "".join(out) + padded[at:]
+        if lost:
+            for k, c in enumerate(whole):
+                if c == "\ufffd" and 0 < k < len(whole) - 1:
+                    whole = whole[:k] + ps.fill(whole[k - 1], QUOTES, whole[k + 1]) + whole[k + 1 :]
+        return whole[1:-1], codec, places, lost or "\ufffd" in whole, {}
     if "\ufffd" in tok:
         return tok, "lost", tok.count("\ufffd"), True, {}
     if fixes := one_byte_fixes(tok, ps):
         return tok, None, 0, False, fixes
-    if re.search(r"[\x80-\x9f]", tok) or re.search(r"[a-zß-öø-ÿ][ÃÂ](?![A-ZÀ-Þ])", tok):
+    if m := DANGLING.search(tok):
+        # The second byte's character was dropped: the letter that goes best with its neighbours.
+        at = m.end() - 1
+        return tok[:at] + ps.fill(padded[at], AFTER_LEAD[tok[at]], padded[at + 2]) + tok[at + 1 :], "lost", 1, True, {}
+    if re.search(r"[\x80-\x9f]", tok):
         return tok, "lost", 1, True, {}
     return tok, None, 0, False, {}
 
 
 def repair_text(text: str, ps: PairScores, memo: dict[str, tuple]) -> tuple[str, str | None, int, bool]:
-    """(repaired text, charset, places, lost). One-byte mappings are chosen by their gain over the whole text.
+    """(repaired text, charset, places, lost). One-byte mappings are chosen by their gain over the whole text;
+    what could as well be meant (a capital among capitals, a character alone) counts only beside places that are sure.
 
     A text most of whose odd symbols no mapping explains holds symbols, not garbled text.
     """
@@ -269,16 +295,20 @@ def repair_text(text: str, ps: PairScores, memo: dict[str, tuple]) -> tuple[str,
             memo[tok] = repair_token(tok, ps)
         r = memo[tok]
         got.append((m, r))
-        for c, (gain, _, _) in r[4].items():
-            gains[c] = gains.get(c, 0.0) + gain
+        for c, (gain, _, _, sure) in r[4].items():
+            if sure:
+                gains[c] = gains.get(c, 0.0) + gain
         if not r[2] and not r[4]:
             odd += sum(not ch.isalnum() and ch not in PUNCT for ch in tok if ch > "\x7f")
     main = max(gains, key=lambda c: (gains[c], c)) if gains else None
     out, at, codec, places, lost = [], 0, None, 0, False
     for m, (fixed, c, n, gone, fixes) in got:
-        if fixes:
-            c = main if main in fixes else max(fixes, key=lambda x: (fixes[x][0], x))
-            _, fixed, n = fixes[c]
+        if fixes and main in fixes:
+            c = main
+            _, fixed, n, _ = fixes[main]
+        elif fixes and (sure := [x for x in fixes if fixes[x][3]]):
+            c = max(sure, key=lambda x: (fixes[x][0], x))
+            _, fixed, n, _ = fixes[c]
         if n:
             out.append(text[at : m.start()] + fixed)
             at = m.end()

@@ -61,7 +61,7 @@ def test_garbled_round_trip(spark):
     assert garbled.repair_token(twice, scores)[0] == "fermé"
     lost = garbled.repair_text("für die Stra�e", scores, {})
     assert lost[2] and lost[3]
-    for decoy in ("Tãolãlã SÂNCOR", "Âmmõesser MÃLU", "offi­ce no-break space", "¬¢±¶ s§dd, ¢÷±o¤ r÷ee §¤", "naïve café"):
+    for decoy in ("Tãolãlã SÂNCOR", "Âmmõesser MÃLU", "offi­ce no-break space", "¬¢±¶ s§dd, ¢÷±o¤ r÷ee §¤", "naïve café", "IL CHE È PICCOLA, RIAPRÌ I POMPIERI"):
         assert garbled.repair_text(decoy, scores, {})[2] == 0, decoy
 
 
