@@ -56,3 +56,32 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     p = hadoop.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, unless PYTHONPATH already does: a zip that the driver serves, once an application."""
+    import io
+    import os
+    import sys
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if app in _shipped or str(root.parent) in known or "site-packages" in root.parts:
+        return
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(str(p.relative_to(root.parent)), p.read_bytes())
+    path = Path(tempfile.mkdtemp(prefix="quirel-zip-")) / "quirel.zip"
+    path.write_bytes(buf.getvalue())
+    atexit.register(shutil.rmtree, path.parent, True)
+    before = list(sys.path)
+    spark.sparkContext.addPyFile(str(path))
+    sys.path[:] = before  # the driver keeps its own copy
+    _shipped.add(app)
