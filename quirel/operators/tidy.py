@@ -42,13 +42,16 @@ def letter_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     shifts = F.regexp_count(c, F.lit("[a-z][A-Z]"))
     other = F.char_length(F.regexp_replace(c, r"[^\p{L}]|[A-Za-zÀ-ɏḀ-ỿ]", ""))
     latin = F.char_length(F.regexp_replace(c, r"[^À-ÖØ-öø-ɏḀ-ỿ]", ""))
-    d = df.where(c.isNotNull()).select(F.col(key).alias("k"), counts.alias("obs"), n.alias("letters"), vowels.alias("v"), bigrams.alias("bi"), shifts.alias("sh"), other.alias("o"), latin.alias("lx"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     ref = F.array(*map(F.lit, ENGLISH))
     ref_sorted = F.array(*map(F.lit, sorted(ENGLISH, reverse=True)))
     norm = sum(x * x for x in ENGLISH) ** 0.5
-    cos = lambda o, r: F.when(F.col("letters") > 0, dot(o, r) / (F.sqrt(dot(o, o)) * norm)).otherwise(1.0)
-    d = d.withColumn("cosine", cos(F.col("obs"), ref)).withColumn("shape", cos(F.sort_array("obs", asc=False), ref_sorted))
+    cos = lambda o, r: dot(o, r) / (F.sqrt(dot(o, o)) * norm)
+    # The counts are bound to a lambda's variable, else the optimizer would put all of them into each place that uses them.
+    both = F.transform(F.array(counts), lambda o: F.array(cos(o, ref), F.transform(F.array(F.sort_array(o, asc=False)), lambda q: cos(q, ref_sorted))[0]))[0]
+    both = F.when(n > 0, both).otherwise(F.array(F.lit(1.0), F.lit(1.0)))
+    d = df.where(c.isNotNull()).select(F.col(key).alias("k"), n.alias("letters"), vowels.alias("v"), bigrams.alias("bi"), shifts.alias("sh"), other.alias("o"), latin.alias("lx"), F.transform(F.array(both), lambda x: F.struct(x[0].alias("a"), x[1].alias("b")))[0].alias("c"))
+    d = d.withColumn("cosine", F.col("c.a")).withColumn("shape", F.col("c.b"))
     vr, sr = F.col("v") / F.greatest("letters", F.lit(1)), F.col("sh") / F.greatest("bi", F.lit(1))
     bad = (F.col("letters") >= 200) & (F.col("o") <= F.col("letters") + F.col("lx")) & (vr <= 0.30) & (((F.col("bi") >= 100) & (sr >= 0.10)) | ((F.col("cosine") < 0.60) & (F.col("shape") >= 0.90)))
     return d.select(F.col("k").alias(key), "letters", F.round(vr, 6).alias("vowel_ratio"), F.round(sr, 6).alias("case_shift_ratio"), F.round("cosine", 6).alias("cosine"), F.round("shape", 6).alias("shape_cosine"), bad.alias("garbled"))

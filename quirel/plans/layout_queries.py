@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirel.functions import text as T
-from quirel.operators import blocks, grids, layout
+from quirel.operators import blocks, geometry, grids, layout
 from quirel.session import table
 
 from .text_queries import W, _value_kind_sql, sql_trim
@@ -277,7 +277,34 @@ def md_table(spark: SparkSession, d: str) -> DataFrame:
 
 MD_TABLE = "SELECT r_name AS region, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"
 
+
+
+def merged_items(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.merged(table(spark, d, "pdf_item"))
+
+
+def page_columns(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.columns(table(spark, d, "pdf_item"))
+
+
+def borderless_tables(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.tables(table(spark, d, "pdf_item"))
+
+
+def region_text(spark: SparkSession, d: str) -> DataFrame:
+    r = spark.createDataFrame(REGIONS, "region_no int, rx1 double, ry1 double, rx2 double, ry2 double")
+    it = _items(spark, d)
+    return geometry.region_text(it, layout.assign_regions(it, r))
+
+
+REGION_TEXT = REGION_ASSIGN.replace("WITH ", "WITH q AS (WITH ", 1) + ") SELECT q.result_id, q.page_no, region_no, string_agg(coalesce(text, ''), ' ' ORDER BY -round(y), x, q.item_no) AS text FROM q JOIN (SELECT DISTINCT ON (result_id, page_no, item_no) * FROM pdf_item) i ON q.result_id = i.result_id AND q.page_no = i.page_no AND q.item_no = i.item_no GROUP BY ALL"
+
+
 QUERIES = {
+    "merged_items": (merged_items, None),
+    "page_columns": (page_columns, None),
+    "borderless_tables": (borderless_tables, None),
+    "region_text": (region_text, REGION_TEXT),
     "font_mode": (font_mode, FONT_MODE),
     "size_rarity": (size_rarity, SIZE_RARITY),
     "text_lines": (text_lines, TEXT_LINES),
