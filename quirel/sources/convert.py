@@ -22,14 +22,16 @@ RESULT = "title string, category string, format string, markdown string, n_block
 BLOCKS = "block_no int, parent_no int, kind string, level int, text string, marker string, lang string"
 CELLS = "block_no int, row_no int, col_no int, is_origin boolean, row_span int, col_span int, is_header boolean, text string"
 #: Extensions of each reader.
-READERS = {"docx": "docx docm dotx", "xlsx": "xlsx xlsm", "pptx": "pptx pptm ppsx ppsm potx", "odt": "odt ott", "ods": "ods ots", "odp": "odp otp", "epub": "epub", "rtf": "rtf", "csv": "csv", "html": "html htm xhtml", "pdf": "pdf", "doc": "doc", "ppt": "ppt pps pot", "xls": "xls xlsb"}
+READERS = {"docx": "docx docm dotx", "xlsx": "xlsx xlsm", "pptx": "pptx pptm ppsx ppsm potx", "odt": "odt ott", "ods": "ods ots", "odp": "odp otp", "epub": "epub", "rtf": "rtf", "csv": "csv", "html": "html htm xhtml", "pdf": "pdf", "doc": "doc", "ppt": "ppt pps pot", "xls": "xls"}
 BY_EXTENSION = {e: k for k, v in READERS.items() for e in v.split()}
 
 
 def to_document(data: bytes, fmt: str) -> Document:
     """The document model of bytes in a known format."""
-    from . import odf, office, plain, web
+    from . import odf, office, ole, plain, web
 
+    if fmt in ("doc", "ppt", "xls") and data[:8] == ole.MAGIC:
+        return {"doc": ole.doc, "ppt": ole.ppt, "xls": ole.xls}[fmt](data)
     if fmt == "docx":
         return office.docx(data)
     if fmt == "xlsx":
@@ -93,7 +95,7 @@ def convert_one(name: str | None, data: bytes | None, by_content: bool = False,
                 md, n = data.decode("utf-8"), 1
             except UnicodeDecodeError:
                 raise ConvertError("malformed", "not UTF-8") from None
-        elif fmt in (None, "ppt", "xls") or fmt == "doc" and data[:5] != b"{\\rtf":
+        elif fmt is None:
             raise ConvertError("unsupported", f"no reader for {fmt or ext or 'this file'}")
         else:
             doc = to_document(data, fmt)
