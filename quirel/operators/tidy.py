@@ -35,7 +35,7 @@ def letter_stats(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     c = F.col(text)
     low = F.lower(c)
-    counts = F.array(*[(F.char_length(low) - F.char_length(F.translate(low, ch, ""))).cast("double") for ch in "abcdefghijklmnopqrstuvwxyz"])
+    counts = F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(ch), F.lit("")))).cast("double") for ch in "abcdefghijklmnopqrstuvwxyz"])
     n = F.char_length(F.regexp_replace(c, "[^A-Za-z]", ""))
     vowels = F.char_length(F.regexp_replace(low, "[^aeiou]", ""))
     bigrams = F.coalesce(F.aggregate(F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z]+)")), lambda x: F.char_length(x) - 1), F.lit(0), lambda a, b: a + b), F.lit(0))
