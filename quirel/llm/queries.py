@@ -132,5 +132,17 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p8_found, p8_pages, p8_stretches, p7_mixture, p7_shares, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
 
 
+P1_STATS = rf"""WITH t AS (SELECT result_id, CASE WHEN trim(translate(markdown, chr(10) || chr(9) || chr(13), '   '), ' ') <> '' THEN markdown END AS t FROM pdf_result),
+ s AS (SELECT result_id, t, len(regexp_extract_all(t, '[A-Za-z0-9À-ÖØ-öø-ÿ]+')) AS words, length(regexp_replace(t, '[ \t\r\n]', '', 'g')) AS solid, length(regexp_replace(t, '[^A-Za-z0-9À-ÖØ-öø-ÿ]', '', 'g')) AS plain, list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> '') AS lines,
+ len(list_filter(string_split_regex(lower(t), '[^a-z0-9à-öø-ÿ]+'), lambda w: w IN ({', '.join("'" + w + "'" for w in sorted(quality.COMMON_SET))}))) AS common FROM t)
+ SELECT result_id, CASE WHEN t IS NOT NULL THEN words END AS word_count, CASE WHEN words > 0 THEN round(plain / words, 6) END AS mean_word_len, CASE WHEN solid > 0 THEN round(1 - plain / solid, 6) END AS symbol_ratio, CASE WHEN t IS NOT NULL THEN len(lines) END AS line_count,
+ CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:][”’»"'')]*[ \t\r]*$'))) / len(lines), 6) END AS ended_line_share, CASE WHEN words > 0 THEN round(common / words, 6) END AS common_word_share FROM s"""
+P4_FOUND = """SELECT DISTINCT 'pdf_result' AS tbl, result_id AS rec_id, -1 AS block_no FROM pdf_result WHERE length(markdown) > (SELECT max_chars FROM split_limit WHERE tbl = 'pdf_result')
+ UNION SELECT DISTINCT 'doc_block', file_id, block_no FROM doc_block WHERE length(text) > (SELECT max_chars FROM split_limit WHERE tbl = 'doc_block')"""
+P5_FOUND = r"""WITH w AS (SELECT result_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || markdown), '[\p{L}\p{N}]+') AS w FROM pdf_result WHERE markdown <> ''),
+ s AS (SELECT result_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30), u AS (SELECT result_id, len(s) AS n, unnest(s) AS g FROM s),
+ p AS (SELECT a.result_id AS a_id, b.result_id AS b_id, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.result_id < b.result_id GROUP BY ALL) SELECT a_id, b_id FROM p WHERE c / (na + nb - c) >= 0.6"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_stats": P1_STATS, "p4_found": P4_FOUND, "p5_found": P5_FOUND}
