@@ -9,7 +9,8 @@ Exact copies (equal shingle sets) are one class from the start, so a class may h
 pair being made for it; pairs of copies only come out where a result asks for pairs of records.
 
 Defined results: records with empty or null text, or fewer words than min_words, take no part; null titles are empty;
-repeated rows of an id count once (the first in order of text); an empty table gives no pairs and no groups.
+repeated rows of an id count once (with different texts, the one whose class comes first); an empty table gives no pairs and
+no groups.
 """
 
 from __future__ import annotations
@@ -68,7 +69,6 @@ def sketch(df: DataFrame, key: str, title: str | None, text: str, size: int, min
     a = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
     recs = df.select(F.col(key).alias("id"), (F.coalesce(F.col(title), F.lit("")) if title else F.lit("")).alias("h"), F.col(text).alias("t")).where("t <> ''")
-    recs = recs.groupBy("id").agg(F.min(F.struct("t", "h")).alias("r")).select("id", "r.t", "r.h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
@@ -100,8 +100,11 @@ def similar(df: DataFrame, key: str, title: str | None, text: str, *, size: int
     """(links, members): links(a, b, sim) between class representatives, a < b; members(id, rep) of every record that takes part."""
     depth = depth_for(threshold)
     sk = cut(sketch(df, key, title, text, size, min_words, depth), "p5-sketch")
-    members = sk.select("id", "cls").join(sk.groupBy("cls").agg(F.min("id").alias("rep")), "cls").select("id", "rep")
-    reps = sk.join(sk.groupBy("cls").agg(F.min("id").alias("id")), ["cls", "id"], "left_semi")
+    # One class an id, one representative a class: both from two narrow columns, so that texts and sets are never shuffled for it.
+    chosen = sk.groupBy("id").agg(F.min("cls").alias("cls"))
+    classes = chosen.groupBy("cls").agg(F.min("id").alias("rep"))
+    members = chosen.join(classes, "cls").select("id", "rep")
+    reps = sk.join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"], "left_semi")
     leaves = reps.select("id", "n", F.explode("keys").alias("k"))
     x, y = leaves.alias("x"), leaves.alias("y")
     fits = (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9)
@@ -110,7 +113,7 @@ def similar(df: DataFrame, key: str, title: str | None, text: str, *, size: int
     v = cands.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     v = v.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("sim"))
-    return v.where(F.col("sim") >= threshold - 1e-12), members
+    return v.where(F.col("sim") >= threshold - 1e-12).distinct(), members
 
 
 def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
