@@ -4,8 +4,7 @@ Method: dirty tokens (those with a character outside a safe set) are taken once
 points, broadcast-joined with a decomposition table and a look-alike table, combining marks are ordered by class, the
 characters are recomposed and the tokens, then the texts, are rebuilt. Clean texts pass through untouched.
 
-Defined results: null text gives null, empty text gives empty text; repeated rows are one row (keys are taken to
-identify a text); a token wholly in another script stays as it is.
+Defined results: null text gives null, empty text gives empty text; repeated rows stay repeated; a token wholly in another script stays as it is.
 """
 
 from __future__ import annotations
@@ -125,8 +124,10 @@ def fix_tokens(tokens: DataFrame) -> DataFrame:
 
 def normalize_forms(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys..., text_form, is_case): each text in the one form, and whether a letter, digit, space or hidden character differed."""
-    recs = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text).alias("__t")).distinct()
-    ks = [f"__k{i}" for i in range(len(keys))]
+    recs = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text).alias("__t"))
+    # Each row is rebuilt under a number of its own, so repeated rows stay apart and no text is shuffled to tell them.
+    recs = recs.withColumn("__row", F.monotonically_increasing_id())
+    ks = ["__row", *[f"__k{i}" for i in range(len(keys))]]
     dirty = F.coalesce(F.col("__t").rlike(DIRTY), F.lit(False))
     clean = recs.where(~dirty).select(*ks, F.col("__t").alias("text_form"), F.lit(False).alias("is_case"))
     toks = recs.where(dirty).select(*ks, F.posexplode(F.split("__t", r"(?<=[ \t\r\n])|(?=[ \t\r\n])")).alias("pos", "token"))
