@@ -40,7 +40,8 @@ DANGLING = re.compile(r"[a-zß-öø-ÿ][ÃÂ](?![A-ZÀ-Þ])|^Ã(?=\W*$)")
 NON_ASCII = re.compile(r"[^\x00-\x7F]")
 # Spaces and hidden characters, which problem 3 treats.
 KEEP = "\xa0\xad\u200b\u200c\u200d\u2060\ufeff"
-TOKEN = re.compile(r"[^ \t\r\n]+")
+# Tokens of scripts without spaces are taken a stretch at a time.
+TOKEN = re.compile(r"[^ \t\r\n]{1,400}")
 
 
 @functools.cache

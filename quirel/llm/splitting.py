@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 # Boundaries, strongest first, as (strength, pattern whose end is the boundary).
 BOUNDARIES = [
-    (6, re.compile(r"\n[ \t]*\n\s*(?=#{1,6} )|\n(?=#{1,6} )")),
+    (6, re.compile(r"\n(?=#{1,6} )")),
     (5, re.compile(r"\n[ \t]*\n\s*")),
-    (4, re.compile(r"\n(?=\s*(?:[-*+•]|\d{1,3}[.)])\s)|(?<=[.!?:;”»])\n")),
+    (4, re.compile(r"\n(?=[ \t]{0,20}(?:[-*+•]|\d{1,3}[.)])\s)|(?<=[.!?:;”»])\n")),
     (3, re.compile(r"(?<=[.!?…])[”’»\")\]]*\s+(?=[^a-zà-ÿ\s])|\n(?=\|)")),
     (2, re.compile(r"\n|(?<=[,;:–—])\s+")),
 ]
