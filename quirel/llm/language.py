@@ -56,18 +56,43 @@ def clean(word: str) -> str:
     return w if w.isalpha() else NOT_LETTER.sub("", w)
 
 
-def lattice(words: list[str], vocab: dict[str, int]) -> np.ndarray:
-    """Piece numbers by word, end and length (words of one length); len(vocab) is no piece, len(vocab) + 1 an unknown character."""
-    n, none = len(words[0]) + 1, len(vocab)
-    get = vocab.get
-    flat = []
-    for w in words:
-        s = "_" + w
-        for j in range(1, n + 1):
-            flat.append(get(s[j - 1 : j], none + 1))
-            for k in range(2, LONGEST + 1):
-                flat.append(get(s[j - k : j], none) if k <= j else none)
-    return np.array(flat, np.int32).reshape(len(words), n, LONGEST)
+class PieceTable:
+    """Pieces by the hash of their letters, one sorted table for each length, so that words are looked up side by side."""
+
+    PRIME = np.uint64(0x100000001B3)
+
+    def __init__(self, vocab: dict[str, int]):
+        self.size = len(vocab)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by: dict[int, list[tuple[int, int]]] = {}
+        for p, i in vocab.items():
+            h = 0
+            for c in p:
+                h = (h * int(self.PRIME) + ord(c) + 1) % (1 << 64)
+            by.setdefault(len(p), []).append((h, i))
+        for k, rows in by.items():
+            rows.sort()
+            self.tables[k] = np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int32)
+
+    def find(self, k: int, h: np.ndarray, none: int) -> np.ndarray:
+        if k not in self.tables:
+            return np.full(h.shape, none, np.int32)
+        keys, ids = self.tables[k]
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[at] == h, ids[at], none).astype(np.int32)
+
+
+def lattice(words: list[str], table: PieceTable) -> np.ndarray:
+    """Piece numbers by word, end and length (words of one length); table.size is no piece, one more an unknown character."""
+    n, none = len(words[0]) + 1, table.size
+    codes = np.frombuffer("".join("_" + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(words), n) + np.uint64(1)
+    out = np.full((len(words), n, LONGEST), none, np.int32)
+    h = codes
+    out[:, :, 0] = table.find(1, h, none + 1)
+    for k in range(2, min(LONGEST, n) + 1):
+        h = h[:, :-1] * PieceTable.PRIME + codes[:, k - 1 :]
+        out[:, k - 1 :, k - 1] = table.find(k, h, none)
+    return out
 
 
 def forward(lat: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -88,6 +113,7 @@ def expected(lat: np.ndarray, prob: np.ndarray, count: np.ndarray) -> np.ndarray
     beta = np.zeros_like(alpha)
     beta[:, n] = 1
     out = np.zeros_like(prob)
+    every, parts = [], []
     scale = count / np.maximum(alpha[:, n], 1e-300)
     for j in range(n, 0, -1):
         for k in range(1, min(LONGEST, j) + 1):
@@ -97,7 +123,11 @@ def expected(lat: np.ndarray, prob: np.ndarray, count: np.ndarray) -> np.ndarray
     for j in range(1, n + 1):
         for k in range(1, min(LONGEST, j) + 1):
             ids = lat[:, j - 1, k - 1]
-            np.add.at(out, ids, alpha[:, j - k] * prob[ids] * beta[:, j] * scale)
+            every.append(ids)
+            parts.append(alpha[:, j - k] * prob[ids] * beta[:, j] * scale)
+    ids, part = np.concatenate(every), np.concatenate(parts)
+    for x in range(out.shape[1]):
+        out[:, x] = np.bincount(ids, part[:, x], out.shape[0])
     return out
 
 
@@ -113,7 +143,7 @@ def normalize(c: np.ndarray, n: int) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    vocab: dict[str, int]
+    table: PieceTable
     prob: np.ndarray
     #: Scored words: place in scores, which grows.
     known: dict[str, int] = field(default_factory=dict)
@@ -130,7 +160,7 @@ class Model:
                 continue
             for a in range(0, len(at), 2000):
                 part = at[a : a + 2000]
-                lat = lattice([words[i][:n] for i in part], self.vocab)
+                lat = lattice([words[i][:n] for i in part], self.table)
                 s = np.log(np.maximum(forward(lat, self.prob)[:, -1], 1e-300))
                 out[part] = np.maximum(s - s.max(1, keepdims=True), -CLIP)
         return out
@@ -208,31 +238,41 @@ def decode(model: Model, pages: list[list[str]]) -> tuple[list[np.ndarray], np.n
 
 def fit(sample: pd.DataFrame, langs: list[str], vocab: dict[str, int]) -> Model:
     """Models from labelled pages (columns lang, words): labels first, then the models' own decoding in place of labels."""
+    table = PieceTable(vocab)
     n, k = len(vocab), len(langs)
     number = {a: i for i, a in enumerate(langs)}
-    pages = sample["words"].tolist()
-    tags = [np.full(len(p), number[a], np.int8) for a, p in zip(sample["lang"], pages)]
-    lats: dict[int, tuple[list[str], np.ndarray]] = {}
-    every = sorted({c[:WORD_MAX] for p in pages for w in p if (c := clean(w))})
-    for m in sorted({len(c) for c in every}):
-        ws = [c for c in every if len(c) == m]
-        lats[m] = (ws, lattice(ws, vocab))
+    memo: dict[str, str] = {}
+    pages = [[memo[w] if w in memo else memo.setdefault(w, clean(w)[:WORD_MAX]) for w in p] for p in sample["words"]]
+    every = sorted({c for p in pages for c in p if c}, key=lambda c: (len(c), c))
+    place = {c: i for i, c in enumerate(every, 1)} | {"": 0}
+    lengths = np.array([len(p) for p in pages], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    flat = np.array([place[c] for p in pages for c in p], np.int64)
+    tags = np.repeat(np.array([number[a] for a in sample["lang"]], np.int64), lengths)
+    lats: list[tuple[int, int, np.ndarray]] = []
+    a = 0
+    while a < len(every):
+        b = a
+        while b < len(every) and len(every[b]) == len(every[a]) and b - a < 4000:
+            b += 1
+        lats.append((a, b, lattice(every[a:b], table)))
+        a = b
     prob = normalize(np.ones((n, k)), n)
     for round_ in range(ROUNDS):
-        count: dict[str, np.ndarray] = {}
-        for p, g in zip(pages, tags):
-            for w, t in zip(p, g):
-                if c := clean(w)[:WORD_MAX]:
-                    count.setdefault(c, np.zeros(k))[t] += 1
+        count = np.zeros((len(every) + 1, k))
+        np.add.at(count, (flat, tags), 1)
         for _ in range(3 if round_ == 0 else 2):
             c = np.zeros_like(prob)
-            for ws, lat in lats.values():
-                for a in range(0, len(ws), 4000):
-                    c += expected(lat[a : a + 4000], prob, np.array([count[w] for w in ws[a : a + 4000]]))
+            for a, b, lat in lats:
+                c += expected(lat, prob, count[a + 1 : b + 1])
             prob = normalize(c, n)
-        model = Model(langs, vocab, prob)
-        tags = decode(model, pages)[0]
-    return model
+        scores = np.zeros((len(every) + 1, k), np.float32)
+        for a, b, lat in lats:
+            s = np.log(np.maximum(forward(lat, prob)[:, -1], 1e-300))
+            scores[a + 1 : b + 1] = np.maximum(s - s.max(1, keepdims=True), -CLIP)
+        if len(flat):
+            tags = np.concatenate(best_paths(scores[flat], starts, lengths)).astype(np.int64)
+    return Model(langs, table, prob)
 
 
 def train(docs: DataFrame, alias: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", boxes: str = "line_boxes", path: str = "") -> Model | None:
@@ -254,7 +294,7 @@ def stretches(docs: DataFrame, model: Model | None, key: str = "doc_id", text: s
     schema = f"id {docs.schema[key].dataType.simpleString()}, seg_no int, lang string, confidence double, first_word int, n_words int, n_chars int, page_chars int"
     if model is None:
         return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.vocab, model.prob))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.prob))
     recs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -270,7 +270,7 @@ def test_forward_sums_all_segmentations():
         return sum((prob[vocab[s[:k]]] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in vocab), np.zeros(2))
 
     for w in ("a", "ab", "aba", "abab"):
-        assert np.allclose(language.forward(language.lattice([w], vocab), prob)[0, -1], total("_" + w))
+        assert np.allclose(language.forward(language.lattice([w], language.PieceTable(vocab)), prob)[0, -1], total("_" + w))
 
 
 def test_best_path_against_brute_force():
@@ -314,3 +314,22 @@ def test_queries_run(spark, data, name):
     want = {"p1_found": ["result_id", "kind"], "p2_found": ["tbl", "rec_id", "cid"], "p3_found": ["tbl", "rec_id"], "p4_found": ["tbl", "rec_id", "block_no"], "p5_found": ["a_id", "b_id"], "p6_found": ["doc_id", "item_id"], "p8_found": ["doc_id", "lang"]}
     if name in want:
         assert df.columns == want[name]
+
+
+# Very long and odd texts
+
+
+@pytest.mark.parametrize("text", ["\n" * 50_000, "a" * 60_000, "é" * 30_000, "Ã©" * 20_000, "漢字" * 20_000, ("word. " * 20_000), ". " * 30_000, "| a | b |\n" * 8_000, "\t" * 30_000 + "x", "#" * 20_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.time()
+    scores = garbled.PairScores(np.array([ord("a") << 21 | ord("b")]), np.array([5]))
+    garbled.repair_text(text, scores, {})
+    got = splitting.split_text(text, 4000, 200)
+    assert got[-1][1] == len(text) and all(b - a <= 4000 for a, b in got)
+    quality.shape(text)
+    words = reading.running_words(reading.page_lines(text, None, None, None), True)[0]
+    [leakage.plain(w) for w in words]
+    neardup.shingles(words, 5, {})
+    assert time.time() - began < 20
