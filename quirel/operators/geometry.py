@@ -298,3 +298,55 @@ def region_text(df: DataFrame, assigned: DataFrame) -> DataFrame:
     j = df.select("result_id", "page_no", "item_no", "text", "x", "y").dropDuplicates(["result_id", "page_no", "item_no"]).join(assigned.select("result_id", "page_no", "item_no", "region_no"), ["result_id", "page_no", "item_no"])
     order = F.struct((-F.round("y")).alias("y"), "x", "item_no", F.coalesce("text", F.lit("")).alias("t"))
     return j.groupBy("result_id", "page_no", "region_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["t"]), " ").alias("text"))
+
+
+def normalize_bands(cells: list[dict]) -> list[dict]:
+    """Cells (row, col, box x1 y1 x2 y2) with row and column bands that don't overlap: neighbours meet half way."""
+    out = [dict(c) for c in cells]
+    for key, lo, hi in (("row", 1, 3), ("col", 0, 2)):
+        bands: dict[int, list[float]] = {}
+        for c in out:
+            b = bands.setdefault(c[key], [c["box"][lo], c["box"][hi]])
+            b[0], b[1] = min(b[0], c["box"][lo]), max(b[1], c["box"][hi])
+        order = sorted(bands, key=lambda k: bands[k][0])
+        for a, b in zip(order, order[1:]):
+            if bands[a][1] > bands[b][0]:
+                bands[a][1] = bands[b][0] = (bands[a][1] + bands[b][0]) / 2
+        for c in out:
+            box = list(c["box"])
+            box[lo], box[hi] = max(box[lo], bands[c[key]][0]), min(box[hi], bands[c[key]][1])
+            c["box"] = tuple(box)
+    return out
+
+
+def cells_markdown(cells: list[dict]) -> str:
+    """Cells (row, col, text, spans allowed) as a compact pipe table; places without a cell are empty."""
+    if not cells:
+        return ""
+    rows, cols = max(c["row"] for c in cells) + 1, max(c["col"] + c.get("cols", 1) for c in cells)
+    grid = [["" for _ in range(cols)] for _ in range(rows)]
+    for c in cells:
+        grid[c["row"]][c["col"]] = c["text"]
+    return table_markdown(grid)
+
+
+def quality_issue(rows: list[list[str]]) -> str | None:
+    """What is wrong with a filled structure: an empty row between full ones, or several lines in most cells of a row."""
+    full = [any(x.strip() for x in r) for r in rows]
+    if any(not f and any(full[:i]) and any(full[i + 1 :]) for i, f in enumerate(full)):
+        return "phantom_empty_row"
+    for r in rows:
+        many = [x for x in r if x.count("\n") >= 1]
+        if len(many) >= 2 and len(many) * 2 >= sum(bool(x) for x in r):
+            return "multi_row_in_cell"
+    return None
+
+
+def best_candidate(candidates: list[tuple[str, list[list[str]]]]) -> tuple[str, list[list[str]]] | None:
+    """Of detectors' tables the one with the most filled cells for its size; the earlier one in case of ties."""
+    def evidence(rows: list[list[str]]) -> float:
+        cells = [x for r in rows for x in r]
+        return sum(bool(x) for x in cells) * (sum(bool(x) for x in cells) / max(1, len(cells)))
+
+    good = [c for c in candidates if c[1] and quality_issue(c[1]) is None]
+    return max(good, key=lambda c: evidence(c[1]), default=None)

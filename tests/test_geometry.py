@@ -37,6 +37,15 @@ def test_tables_and_structure():
     assert len(cols) == 2 and G.page_columns([]) == []
 
 
+def test_structure_cells():
+    cells = [{"row": 0, "col": 0, "box": (0, 0, 12, 10), "text": "a"}, {"row": 0, "col": 1, "box": (10, 0, 20, 11), "text": "b"}, {"row": 1, "col": 0, "box": (0, 9, 10, 20), "text": "c"}]
+    got = {(c["row"], c["col"]): c["box"] for c in G.normalize_bands(cells)}
+    assert got[0, 0] == (0, 0, 11.0, 10.0) and got[0, 1] == (11.0, 0, 20, 10.0) and got[1, 0] == (0, 10.0, 10, 20)
+    assert G.cells_markdown(cells) == "|a|b|\n|---|---|\n|c||" and G.cells_markdown([]) == ""
+    assert G.quality_issue([["a"], [""], ["b"]]) == "phantom_empty_row" and G.quality_issue([["a\nb", "c\nd"]]) == "multi_row_in_cell" and G.quality_issue([["a", "b"]]) is None
+    assert G.best_candidate([("rects", [["a", ""], ["", "b"]]), ("lines", [["a", "b"], ["c", "d"]]), ("bad", [["a"], [""], ["b"]])])[0] == "lines" and G.best_candidate([]) is None
+
+
 @given(st.lists(st.tuples(*[st.integers(0, 60)] * 4).map(lambda r: (min(r[0], r[2]), min(r[1], r[3]), max(r[0], r[2]), max(r[1], r[3]))), max_size=14))
 @settings(max_examples=60, deadline=None)
 def test_clusters_against_brute_force(rects):
