@@ -4,7 +4,7 @@ Method: a distributed positional inverted index. Each page, in its own reading o
 position) for the terms of the test items, stored as a table in the shared folder, partitioned by page so that lists meet
 without a shuffle. From the document frequencies over
 all pages every window of the least passage gets its rarest terms as anchors; the postings of the anchors, shifted by
-the anchor's place in the item, are intersected, and where they meet the phrase is followed word by word in both
+the anchor's place in the item, are intersected, and wherever two meet the phrase is followed word by word in both
 directions, misread letters, broken and run-together words allowed.
 
 Terms are words with letters that a scanner confuses put into one class, so a misread letter mostly leaves its term alone.
@@ -30,11 +30,11 @@ from quirel.session import cut
 from .reading import page_lines, running_words
 
 #: Words that must stand in a row, anchors of each window of that length, and most words of test items broadcast at once.
-PASSAGE, ANCHORS, BLOCK_WORDS = 20, 3, 1_000_000
+PASSAGE, ANCHORS, BLOCK_WORDS = 20, 4, 1_000_000
 #: Offsets of two anchors of one passage differ by this much at most (words broken or run together shift them).
 DRIFT = 4
-#: Weight of anchors that must meet before a phrase is followed.
-ENOUGH = 4.0
+#: Words of padding between texts laid one after another, and pages laid so at once.
+EDGE, TOGETHER = 6, 200
 #: Words of a page that may be skipped (an insert, a heading) inside a passage.
 SKIP = 60
 # Classes of letters that scanners confuse, each written with its first letter.
@@ -57,6 +57,22 @@ def term(word: str) -> str:
     return word.replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").translate(CLASS)
 
 
+class Letters(dict[str, int]):
+    """Word -> set of its letters as bits (two letters may share one), kept while it is small."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        bits = 0
+        for c in word:
+            bits |= 1 << (ord(c) & 63)
+        self[word] = bits
+        return bits
+
+
+LETTERS = Letters()
+
+
 def near(a: str, b: str, memo: dict[tuple[str, str], bool]) -> bool:
     """Whether two words are the same but for misread letters: edits up to a third of the longer, one at least."""
     if a == b:
@@ -65,6 +81,10 @@ def near(a: str, b: str, memo: dict[tuple[str, str], bool]) -> bool:
     most = max(1, (max(la, lb) + 1) // 3)
     if abs(la - lb) > most or max(la, lb) < 2:
         return max(la, lb) == 1
+    # Each edit takes away or brings in one letter at most.
+    x, y = LETTERS[a], LETTERS[b]
+    if (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
+        return False
     got = memo.get((a, b))
     if got is None:
         if len(memo) > 300_000:
@@ -99,16 +119,19 @@ def follow(doc: list[str], item: list[str], i: int, j: int, step: int, memo: dic
     return count, i, j
 
 
-def passage(doc: list[str], item: list[str], at: int, p: int, memo: dict[tuple[str, str], bool]) -> int:
-    """Item words in a row around a meeting of the page's word at and the item's word p.
+def passage(doc: list[str], item: list[str], at: int, p: int, memo: dict[tuple[str, str], bool]) -> tuple[int, int, int]:
+    """(item words in a row, start, end) around a meeting of the page's word at and the item's word p.
+
+    From start to end the item's words stand word for word beside the page's: a meeting there leads to the same run.
 
     A passage of some length may be interrupted by an insert: it goes on where the next three item words stand together.
     """
     right, ri, rj = follow(doc, item, at, p, 1, memo)
     if not right:
-        return 0
+        return 0, p, p + 1
     left, li, lj = follow(doc, item, at - 1, p - 1, -1, memo)
     total = right + left
+    run = (lj + 1, rj) if ri - at == rj - p == right and li - at == lj - p == -left - 1 else (p, p + 1)
     for step, i, j in ((1, ri, rj), (-1, li, lj)):
         while total >= 8 and 0 <= j + 2 * step < len(item):
             three = [item[j], item[j + step], item[j + 2 * step]]
@@ -117,28 +140,67 @@ def passage(doc: list[str], item: list[str], at: int, p: int, memo: dict[tuple[s
                 break
             more, i, j = follow(doc, item, i + k * step, j, step, memo)
             total += more
-    return total
+    return total, *run
 
 
-def meetings(hits: list[tuple[int, int, int, int, float]]) -> Iterator[tuple[int, int, int]]:
-    """(item, place on the page, place in the item) where anchors of an item meet at nearly the same offset.
+def meetings(terms: np.ndarray, ats: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items, places on the page, places in the item) where two anchors of a window meet at nearly the same offset, rarest terms first.
 
-    hits: (item, offset, place in the item, place on the page, weight). Different anchors whose weights (the negative log
-    of the share of pages with the term) reach ENOUGH are evidence: chance alone rarely brings them together.
+    terms, ats: a page's postings. lists: for each term where its anchors start, then their items and places in the item.
+    How rare the terms are decides only the order: what meets is always followed.
     """
-    hits.sort()
-    n, k = len(hits), 0
-    while k < n:
-        item, off, _, _, _ = hits[k]
-        e = k + 1
-        while e < n and hits[e][0] == item and hits[e][1] - off <= DRIFT:
-            e += 1
-        if e - k > 1:
-            weights = {h[2]: h[4] for h in hits[k:e]}
-            if len(weights) > 1 and sum(weights.values()) >= ENOUGH:
-                for _, _, p, at, _ in hits[k:e]:
-                    yield item, at, p
-        k += 1
+    start, owner, place = lists
+    n = start[terms + 1] - start[terms]
+    which = np.repeat(np.arange(len(terms)), n)
+    k = np.arange(len(which)) - (np.cumsum(n) - n)[which] + start[terms][which]
+    at, p = ats[which], place[k]
+    key = (owner[k] << 32) + (at - p)
+    order = np.argsort(key, kind="stable")
+    key, p = key[order], p[order]
+    hit = np.zeros(len(key), bool)
+    for lag in range(1, len(key)):
+        near_by = key[lag:] - key[:-lag] <= DRIFT
+        if not near_by.any():
+            break
+        apart = np.abs(p[lag:] - p[:-lag])
+        met = near_by & (apart > 0) & (apart < PASSAGE)
+        hit[lag:] |= met
+        hit[:-lag] |= met
+    order = order[hit]
+    order = order[np.argsort(rank[terms[which[order]]], kind="stable")]
+    return owner[k[order]], at[order], place[k[order]]
+
+
+def letters(texts: list[list[str]], edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each text starts, letters as bits, lengths) of the words of all texts, EDGE words of the impossible length edge around each."""
+    pad = [""] * EDGE
+    flat = [*pad, *(w for t in texts for w in (*t, *pad))]
+    at = EDGE + np.concatenate([[0], np.cumsum([len(t) + EDGE for t in texts])])[:-1].astype(np.int64)
+    return at, np.array([LETTERS[w] for w in flat], np.uint64), np.array([len(w) or edge for w in flat], np.int64)
+
+
+def hopeful(pages: tuple[np.ndarray, np.ndarray], items: tuple[np.ndarray, np.ndarray], at: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether follow() can get to eight words around each meeting, by the words' letters and lengths alone; no that is wrong is never said.
+
+    Eight words need two steps to the left, or two more after the meeting's own to the right.
+    """
+    (dm, dl), (im, il) = pages, items
+
+    def alike(xm, xl, ym, yl):
+        most = np.maximum(1, (np.maximum(xl, yl) + 1) // 3)
+        return (np.abs(xl - yl) <= most) & (np.bitwise_count(xm & ~ym) <= most) & (np.bitwise_count(ym & ~xm) <= most)
+
+    def step(i, j, way):
+        d, d2, t, t2 = at + i * way, at + (i + 1) * way, p + j * way, p + (j + 1) * way
+        a, b, c, e = dm[d], dm[d2], im[t], im[t2]
+        la, lb, lc, le = dl[d], dl[d2], il[t], il[t2]
+        return alike(a, la, c, lc) | alike(a | b, la + lb, c, lc) | alike(a, la, c | e, lc + le) | ((la <= 2) & alike(b, lb, c, lc))
+
+    def some(places, way):
+        return np.logical_or.reduce([step(i, j, way) for i, j in places])
+
+    right = some([(1, 1), (2, 1), (1, 2)], 1) & some([(2, 2), (3, 2), (2, 3), (4, 2), (3, 3), (2, 4)], 1)
+    return right | step(1, 1, -1) & some([(2, 2), (3, 2), (2, 3)], -1)
 
 
 def anchors(items: dict[int, list[str]], freq: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
@@ -197,28 +259,41 @@ def _search(docs: DataFrame, items: dict[int, list[str]], key: str, text: str, b
     names = list(vocabulary)
     # Document frequencies of the block's terms only: as many rows as the block has terms.
     freq = index.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    pages = max(1, index.count())
     seen = {names[t]: n for t, n in zip(freq["t"], freq["n"])}
-    place = {vocabulary[t]: [(i, p, float(np.log(pages / max(1, seen.get(t, 0))))) for i, p in v] for t, v in anchors(items, seen).items()}
-    shared = spark.sparkContext.broadcast((items, place))
+    ids = sorted(items)
+    number = {i: k for k, i in enumerate(ids)}
+    laid = sorted((vocabulary[t], number[i], p) for t, v in anchors(items, seen).items() for i, p in v)
+    t, owner, place = (np.array(c, np.int64) for c in zip(*laid))
+    rank = np.array([seen.get(w, 0) for w in names], np.int64)
+    shared = spark.sparkContext.broadcast(([items[i] for i in ids], ids, (np.searchsorted(t, np.arange(len(names) + 1)), owner, place), rank))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (tests, lists), memo = shared.value, {}
+        (tests, ids, lists, rank), memo = shared.value, {}
+        first, im, il = letters(tests, -1000)
         for pdf in batches:
             rows = []
-            for i, words, terms, ats in pdf.itertuples(index=False, name=None):
-                # Offset-adjusted lists of this page, one entry for each posting of an anchor.
-                hits = [(item, at - p, p, at, w) for t, at in zip(terms.tolist(), ats.tolist()) if t in lists for item, p, w in lists[t]]
-                best: dict[int, int] = {}
-                tried: set[tuple[int, int]] = set()
-                doc = None
-                for item, at, p in meetings(hits):
-                    if best.get(item, 0) >= least or (item, at - p) in tried:
+            for k in range(0, len(pdf), TOGETHER):
+                part = pdf.iloc[k : k + TOGETHER]
+                docs = [words.split(" ") for words in part["words"]]
+                start, dm, dl = letters(docs, -3000)
+                found = [meetings(t.astype(np.int64), at.astype(np.int64), lists, rank) for t, at in zip(part["terms"], part["at"])]
+                item, at, p = (np.concatenate(c) for c in zip(*found))
+                page = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                if least >= 8:
+                    keep = hopeful((dm, dl), (im, il), start[page] + at, first[item] + p)
+                    page, item, at, p = page[keep], item[keep], at[keep], p[keep]
+                best: dict[tuple[int, int], int] = {}
+                done: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+                for n, t, a, q in zip(page.tolist(), item.tolist(), at.tolist(), p.tolist()):
+                    if best.get((n, t), 0) >= least:
                         continue
-                    tried.add((item, at - p))
-                    doc = doc or words.split(" ")
-                    best[item] = max(passage(doc, tests[item], at, p, memo), best.get(item, 0))
-                rows += [(i, item, n) for item, n in best.items() if n >= least]
+                    runs = done.setdefault((n, t, a - q), [])
+                    if not any(lo <= q < hi for lo, hi in runs):
+                        words, lo, hi = passage(docs[n], tests[t], a, q, memo)
+                        runs.append((lo, hi))
+                        best[n, t] = max(words, best.get((n, t), 0))
+                own = part["id"].tolist()
+                rows += [(own[n], ids[t], words) for (n, t), words in best.items() if words >= least]
             yield pd.DataFrame(rows, columns=["id", "item_id", "n_words"])
 
     return index.mapInPandas(run, f"id {index.schema['id'].dataType.simpleString()}, item_id long, n_words int")

@@ -213,6 +213,22 @@ def test_leaks_in_columns_with_misreadings(spark):
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_of_common_terms_and_misread_anchors(spark):
+    item = "Mrs Denmerbur was asked why the quarry of Wythdungar is still quiet and answered that the bakery of Bramstandun would be measured in the spring after the harvest"
+    w = item.split()
+    items = spark.createDataFrame([(7, item)], "item_id int, text string")
+    found = lambda rows: {r["id"] for r in leakage.leaks(frame(spark, rows, f"doc_id int, text string, line_boxes {BOX}"), items).collect()}
+    # One page, the item on every page, and a part of it on a third of them: its terms tell pages apart little or not at all.
+    assert found([(1, *page([item]))]) == {1}
+    assert found([(k, *page([item])) for k in range(3)]) == {0, 1, 2}
+    part, other = page([" ".join(w[3:23])]), page(["Alderman Number said that the ferry was late and nothing more"])
+    assert found([(k, *(other if k % 3 else part)) for k in range(30)]) == set(range(0, 30, 3))
+    # Two of the three rarest words of the only 20-word window are misread so that their terms change.
+    rare = [" ".join(x.replace("quarry", "quarpy").replace("Wythdungar", "Wythdpngar") for x in w[3:23])]
+    fill = [(100 + k, *page(["was asked why the of is still quiet and answered that the bakery of would be measured in the"])) for k in range(60)]
+    assert found([(1, *page(rare)), *fill]) == {1}
+
+
 def test_reading_order_and_words():
     text = "a b-\nd e\nc f\ng"
     lines = reading.page_lines(text, [10, 400, 10, 400], [1, 1, 30, 30], [50, 50, 50, 50])
