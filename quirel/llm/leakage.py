@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quirel.session import cut
 
-from .reading import page_lines, running_words
+from .reading import streams
 
 #: Words that must stand in a row, anchors of each window of that length, and most words of test items broadcast at once.
 PASSAGE, ANCHORS, BLOCK_WORDS = 20, 4, 1_000_000
@@ -215,7 +215,10 @@ def anchors(items: dict[int, list[str]], freq: dict[str, int]) -> dict[str, list
 
 
 def build_index(docs: DataFrame, vocabulary: dict[str, int], key: str, text: str, boxes: str) -> DataFrame:
-    """(id, words, terms array<int>, at array<int>): each page's words in reading order and its postings, in the shared folder."""
+    """(id, words, terms array<int>, at array<int>): each page's words in reading order and its postings, in the shared folder.
+
+    A page with inserts has further rows: all its lines, and what runs on without them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     recs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''")
 
@@ -225,28 +228,28 @@ def build_index(docs: DataFrame, vocabulary: dict[str, int], key: str, text: str
         for pdf in batches:
             rows = []
             for i, t, x, y, w in pdf.itertuples(index=False, name=None):
-                words, terms, at = [], [], []
-                raws, ends = running_words(page_lines(t, x, y, w), True)
-                last = set(ends)
-                for n, raw in enumerate(raws):
-                    got = known.get(raw)
-                    if got is None:
-                        if len(known) > 400_000:
-                            known.clear()
-                        p = plain(raw)
-                        got = known[raw] = (p, number.get(term(p), -1) if p else -1)
-                    if got[0]:
-                        if got[1] >= 0:
-                            terms.append(got[1])
-                            at.append(len(words))
-                        words.append(got[0])
-                        # A word broken at a line end without a sign leaves two halves; together they may be a term.
-                        if n in last and n + 1 < len(raws) and len(got[0]) > 2:
-                            k = number.get(term(got[0] + plain(raws[n + 1])))
-                            if k is not None:
-                                terms.append(k)
-                                at.append(len(words) - 1)
-                rows.append((i, " ".join(words), terms, at))
+                for raws, ends in streams(t, x, y, w):
+                    words, terms, at = [], [], []
+                    last = set(ends)
+                    for n, raw in enumerate(raws):
+                        got = known.get(raw)
+                        if got is None:
+                            if len(known) > 400_000:
+                                known.clear()
+                            p = plain(raw)
+                            got = known[raw] = (p, number.get(term(p), -1) if p else -1)
+                        if got[0]:
+                            if got[1] >= 0:
+                                terms.append(got[1])
+                                at.append(len(words))
+                            words.append(got[0])
+                            # A word broken at a line end without a sign leaves two halves; together they may be a term.
+                            if n in last and n + 1 < len(raws) and len(got[0]) > 2:
+                                k = number.get(term(got[0] + plain(raws[n + 1])))
+                                if k is not None:
+                                    terms.append(k)
+                                    at.append(len(words) - 1)
+                    rows.append((i, " ".join(words), terms, at))
             yield pd.DataFrame(rows, columns=["id", "words", "terms", "at"])
 
     return cut(recs.mapInPandas(run, f"id {recs.schema['id'].dataType.simpleString()}, words string, terms array<int>, at array<int>"), "p6-index")
@@ -296,7 +299,8 @@ def _search(docs: DataFrame, items: dict[int, list[str]], key: str, text: str, b
                 rows += [(own[n], ids[t], words) for (n, t), words in best.items() if words >= least]
             yield pd.DataFrame(rows, columns=["id", "item_id", "n_words"])
 
-    return index.mapInPandas(run, f"id {index.schema['id'].dataType.simpleString()}, item_id long, n_words int")
+    found = index.mapInPandas(run, f"id {index.schema['id'].dataType.simpleString()}, item_id long, n_words int")
+    return found.groupBy("id", "item_id").agg(F.max("n_words").alias("n_words"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", boxes: str = "line_boxes", item_key: str = "item_id", item_text: str = "text", least: int = PASSAGE) -> DataFrame:

@@ -7,7 +7,7 @@ order is the reading order.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 #: Lines whose left edges differ by more than this (in boxes' units) stand in different columns; beyond INDENT they are set in.
 COLUMN_GAP, INDENT = 50, 9
@@ -32,8 +32,17 @@ def take_apart(line: str, columns: int, longest: int) -> list[str]:
     return parts
 
 
-def page_lines(text: str | None, xs, ys, ws) -> list[tuple[str, bool]]:
-    """(line, set in) in reading order: columns from left to right, in each from top to bottom."""
+def usual(xs: list[int]) -> int:
+    """The left edge from which the most lines start within INDENT, the least of several."""
+    xs = sorted(xs)
+    return max(xs, key=lambda x: (bisect_right(xs, x + INDENT) - bisect_left(xs, x), -x))
+
+
+def page_lines(text: str | None, xs, ys, ws, margins: bool = False) -> list[tuple[str, bool]]:
+    """(line, set in) in reading order: columns from left to right, in each from top to bottom.
+
+    Lines are set in from the least left edge of their column, or, with margins, from its usual one.
+    """
     if not text:
         return []
     lines = text.split("\n")
@@ -48,8 +57,10 @@ def page_lines(text: str | None, xs, ys, ws) -> list[tuple[str, bool]]:
             edges.append(v)
         last = v
     if len(edges) == 1:
-        base = edges[0]
+        base = usual(xs) if margins else edges[0]
         return [(lines[i], xs[i] - base > INDENT) for i in sorted(range(n), key=ys.__getitem__)]
+    own = [bisect_right(edges, x) - 1 for x in xs]
+    base = [usual([x for x, o in zip(xs, own) if o == k]) for k in range(len(edges))] if margins else edges
     placed = []
     longest = 0
     for i, x in enumerate(xs):
@@ -58,7 +69,7 @@ def page_lines(text: str | None, xs, ys, ws) -> list[tuple[str, bool]]:
         while spans < len(edges) and x + ws[i] > edges[spans] + 15:
             spans += 1
         if spans == k + 1:
-            placed.append((k, ys[i], i, lines[i], x - edges[k] > INDENT))
+            placed.append((k, ys[i], i, lines[i], x - base[k] > INDENT))
             longest = max(longest, len(lines[i]))
     for i, x in enumerate(xs):
         k = bisect_right(edges, x) - 1
@@ -75,6 +86,17 @@ def is_market(x: str) -> bool:
     return x.rstrip(" .,")[-1:] in FIGURES and (".." in x or "  " in x or " ." in x or "—" in x or "–" in x or "…" in x) and MARKET.match(x) is not None
 
 
+def streams(text: str | None, xs, ys, ws) -> list[tuple[list[str], list[int]]]:
+    """The page's running words with all its lines, and, where that differs, without inserts by either margin."""
+    lines = page_lines(text, xs, ys, ws)
+    out = [running_words(lines, False)]
+    for way in [lines, page_lines(text, xs, ys, ws, True)] if any(x[1] for x in lines) else [lines]:
+        got = running_words(way, True)
+        if all(got[0] != o[0] for o in out):
+            out.append(got)
+    return out
+
+
 def running_words(lines: list[tuple[str, bool]], drop_inserts: bool) -> tuple[list[str], list[int]]:
     """White-space words of the page, words broken at line ends joined, and the places of words that end a line unbroken.
 
