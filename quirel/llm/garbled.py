@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +63,11 @@ def good_char(c: str) -> bool:
     return c in PUNCT or (unicodedata.category(c)[0] == "L" and ord(c) < 0x180)
 
 
+def shows_nothing(c: str) -> bool:
+    """Marks, spaces and invisible characters: differing forms, not symbols."""
+    return unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf", "Zs")
+
+
 def join_sequences(s: str) -> tuple[str, int, str | None, int]:
     """Put multi-byte sequences that were read one byte at a time together again: (text, joined, codec, cut short)."""
     best = (s, 0, None, 0)
@@ -279,13 +285,19 @@ def repair_token(tok: str, ps: PairScores) -> tuple[str, str | None, int, bool,
     return tok, None, 0, False, {}
 
 
+def sure_place(tok: str, fixed: str, plain: set[str]) -> bool:
+    """Whether a repair is sure beside symbols: characters were lost, or letters change with a character that the text nowhere else holds unexplained."""
+    gone, come = Counter(tok) - Counter(fixed), Counter(fixed) - Counter(tok)
+    return tok == fixed or any(c > "\x7f" and c not in plain for c in gone) and any(c > "\x7f" and c.isalpha() for c in (*gone, *come))
+
+
 def repair_text(text: str, ps: PairScores, memo: dict[str, tuple]) -> tuple[str, str | None, int, bool]:
     """(repaired text, charset, places, lost). One-byte mappings are chosen by their gain over the whole text;
     what could as well be meant (a capital among capitals, a character alone) counts only beside places that are sure.
 
-    A text most of whose odd symbols no mapping explains holds symbols, not garbled text.
+    Of a text most of whose odd symbols no mapping explains only the sure places are kept: the others are symbols, not garbled text.
     """
-    got, odd, gains = [], 0, {}
+    got, odd, gains, plain = [], 0, {}, set()
     for m in TOKEN.finditer(text):
         tok = m[0]
         if tok.isascii():
@@ -300,9 +312,11 @@ def repair_text(text: str, ps: PairScores, memo: dict[str, tuple]) -> tuple[str,
             if sure:
                 gains[c] = gains.get(c, 0.0) + gain
         if not r[2] and not r[4]:
-            odd += sum(not ch.isalnum() and ch not in PUNCT for ch in tok if ch > "\x7f")
+            symbols = [ch for ch in tok if ch > "\x7f" and not ch.isalnum() and not shows_nothing(ch)]
+            odd += sum(ch not in PUNCT for ch in symbols)
+            plain.update(symbols)
     main = max(gains, key=lambda c: (gains[c], c)) if gains else None
-    out, at, codec, places, lost = [], 0, None, 0, False
+    repairs = []
     for m, (fixed, c, n, gone, fixes) in got:
         if fixes and main in fixes:
             c = main
@@ -311,10 +325,15 @@ def repair_text(text: str, ps: PairScores, memo: dict[str, tuple]) -> tuple[str,
             c = max(sure, key=lambda x: (fixes[x][0], x))
             _, fixed, n, _ = fixes[c]
         if n:
-            out.append(text[at : m.start()] + fixed)
-            at = m.end()
-            codec, places, lost = codec or c, places + n, lost or gone
-    if not places or odd > 4 * places:
+            repairs.append((m, fixed, c, n, gone))
+    if odd > 4 * sum(r[3] for r in repairs):
+        repairs = [r for r in repairs if sure_place(r[0][0], r[1], plain)]
+    out, at, codec, places, lost = [], 0, None, 0, False
+    for m, fixed, c, n, gone in repairs:
+        out.append(text[at : m.start()] + fixed)
+        at = m.end()
+        codec, places, lost = codec or c, places + n, lost or gone
+    if not places:
         return text, None, 0, False
     return "".join(out) + text[at:], codec, places, lost
 
