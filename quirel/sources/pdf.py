@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -628,9 +629,15 @@ def group_lines(items: list[TextItem]) -> list[Line]:
     if not items:
         return []
     rows: dict[int, list[TextItem]] = defaultdict(list)
+    keys: list[int] = []
+    # Keys fall from line to line: an item joins the highest line near enough, however many the page has.
     for t in sorted(items, key=lambda t: -t.y):
-        key = next((k for k in rows if abs(k / 10 - t.y) <= 0.4 * max(t.size, 4)), None) if len(rows) < 400 else round(t.y * 10)
-        rows[key if key is not None else round(t.y * 10)].append(t)
+        most = 0.4 * max(t.size, 4)
+        i = bisect_left(keys, True, key=lambda k: k / 10 - t.y <= most)
+        if i == len(keys) or abs(keys[i] / 10 - t.y) > most:
+            i = len(keys)
+            keys.append(round(t.y * 10))
+        rows[keys[i]].append(t)
     out = []
     for ts in rows.values():
         ts.sort(key=lambda t: t.x)
