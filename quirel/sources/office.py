@@ -111,6 +111,18 @@ class Numbering:
         return kind, c[level], None if text == number_label(kind, c[level]) else text or None
 
 
+def text_boxes(e: ET.Element) -> list[ET.Element]:
+    """Text boxes below an element, in order: no fallback copies, and none inside another, which is found with that one's blocks."""
+    out, todo = [], list(e)[::-1]
+    while todo:
+        c = todo.pop()
+        if local(c.tag) == "txbxContent":
+            out.append(c)
+        elif local(c.tag) != "Fallback":
+            todo += list(c)[::-1]
+    return out
+
+
 class Word:
     def __init__(self, pkg: Package, part: str):
         self.pkg, self.part = pkg, part
@@ -177,7 +189,7 @@ class Word:
             elif runs:
                 flush()
                 out.append(Block("paragraph", runs=runs, anchors=anchors))
-            for box in all_of(e, "txbxContent")[:64]:
+            for box in text_boxes(e):
                 flush()
                 out.extend(self.blocks(box))
         flush()
