@@ -55,7 +55,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs
     p = hadoop.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that nothing still to be computed reads (each step of an iteration, for one)."""
+    for df in tables:
+        path = getattr(df, "cut_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _shipped: set[str] = set()
