@@ -89,7 +89,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.components(*_p5(spark, d)).select(F.col("id").alias("result_id"), "group_id", "n_links")
+    return neardup.components(*_p5(spark, d)).select(F.col("id").alias("result_id"), F.col("rep").alias("class_id"), "class_size", "group_id", "n_links")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
