@@ -1,17 +1,19 @@
 """Problem 6: passages of test items inside a corpus of scanned pages.
 
-Method: a distributed positional inverted index. Each page, in its own reading order, gives postings (term, page,
-position) for the terms of the test items, stored as a table in the shared folder, partitioned by page so that lists meet
-without a shuffle. From the document frequencies over
-all pages every window of the least passage gets its rarest terms as anchors; the postings of the anchors, shifted by
-the anchor's place in the item, are intersected, and wherever two meet the phrase is followed word by word in both
-directions, misread letters, broken and run-together words allowed.
+Method: a distributed positional inverted index. The corpus is read once, for all items: each page, in its own reading order,
+gives its terms with their positions (all of them, whatever the items ask for). In both halves of every window of the items' words the terms
+that are rarest in the corpus become anchors; their posting lists (term, page, position, signature of the neighbouring terms) are
+stored sorted by term, long lists in several parts. The lists, shifted by the anchor's place in the item, are intersected:
+wherever two anchors of an item, each with three of its four neighbours, meet at nearly one offset of a page, the
+phrase is followed word by word in both directions and given back as an exact phrase or as a proximity match (misread
+letters, broken and run-together words, an insert between).
 
 Terms are words with letters that a scanner confuses put into one class, so a misread letter mostly leaves its term alone.
-Test items are a bounded set: they are taken in blocks of at most BLOCK_WORDS words, each block against all pages.
+How rare a term is decides only which lists are read: whatever meets is followed.
 
 Defined results: null or empty pages and items give nothing; items shorter than the least passage can't leak; repeated
-item rows count once; an item found twice on a page is reported once, with its longest passage.
+item rows count once (of different texts with one id, one is taken); repeated pages give their rows once; an item found
+several times on a page is reported once, with its longest passage and how many passages it has there.
 """
 
 from __future__ import annotations
@@ -22,17 +24,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirel.session import cut
 
 from .reading import streams
 
-#: Words that must stand in a row, anchors of each window of that length, and most words of test items broadcast at once.
-PASSAGE, ANCHORS, BLOCK_WORDS = 20, 4, 1_000_000
+#: Words that must stand in a row, and anchors of each half of a window of that length.
+PASSAGE, ANCHORS = 20, 2
+#: Of an anchor's four neighbouring terms so many must agree, one may be misread.
+AGREE = 3
 #: Offsets of two anchors of one passage differ by this much at most (words broken or run together shift them).
 DRIFT = 4
+#: Postings of a list that one task sorts and stores; longer lists are stored in parts.
+LIST = 1_000_000
+#: Most meetings that are broadcast to their pages (about 1 KB each); beyond it both sides are shuffled.
+NARROW = 20_000
 #: Words of padding between texts laid one after another, and pages laid so at once.
 EDGE, TOGETHER = 6, 200
 #: Words of a page that may be skipped (an insert, a heading) inside a passage.
@@ -119,20 +129,22 @@ def follow(doc: list[str], item: list[str], i: int, j: int, step: int, memo: dic
     return count, i, j
 
 
-def passage(doc: list[str], item: list[str], at: int, p: int, memo: dict[tuple[str, str], bool]) -> tuple[int, int, int]:
-    """(item words in a row, start, end) around a meeting of the page's word at and the item's word p.
+def passage(doc: list[str], item: list[str], at: int, p: int, memo: dict[tuple[str, str], bool]) -> tuple[int, int, int, int, int]:
+    """(item words in a row, lo, hi, left, right) around a meeting of the page's word at and the item's word p.
 
-    From start to end the item's words stand word for word beside the page's: a meeting there leads to the same run.
+    From lo to hi the item's words stand word for word beside the page's: a meeting there leads to the same run.
+    From left to right the passage takes words of the page.
 
     A passage of some length may be interrupted by an insert: it goes on where the next three item words stand together.
     """
     right, ri, rj = follow(doc, item, at, p, 1, memo)
     if not right:
-        return 0, p, p + 1
+        return 0, p, p + 1, at, at
     left, li, lj = follow(doc, item, at - 1, p - 1, -1, memo)
     total = right + left
     run = (lj + 1, rj) if ri - at == rj - p == right and li - at == lj - p == -left - 1 else (p, p + 1)
-    for step, i, j in ((1, ri, rj), (-1, li, lj)):
+    ends = [ri, li]
+    for side, (step, i, j) in enumerate(((1, ri, rj), (-1, li, lj))):
         while total >= 8 and 0 <= j + 2 * step < len(item):
             three = [item[j], item[j + step], item[j + 2 * step]]
             k = next((k for k in range(1, SKIP) if 0 <= i + (k + 2) * step < len(doc) and all(near(doc[i + (k + t) * step], three[t], memo) for t in range(3))), None)
@@ -140,35 +152,8 @@ def passage(doc: list[str], item: list[str], at: int, p: int, memo: dict[tuple[s
                 break
             more, i, j = follow(doc, item, i + k * step, j, step, memo)
             total += more
-    return total, *run
-
-
-def meetings(terms: np.ndarray, ats: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(items, places on the page, places in the item) where two anchors of a window meet at nearly the same offset, rarest terms first.
-
-    terms, ats: a page's postings. lists: for each term where its anchors start, then their items and places in the item.
-    How rare the terms are decides only the order: what meets is always followed.
-    """
-    start, owner, place = lists
-    n = start[terms + 1] - start[terms]
-    which = np.repeat(np.arange(len(terms)), n)
-    k = np.arange(len(which)) - (np.cumsum(n) - n)[which] + start[terms][which]
-    at, p = ats[which], place[k]
-    key = (owner[k] << 32) + (at - p)
-    order = np.argsort(key, kind="stable")
-    key, p = key[order], p[order]
-    hit = np.zeros(len(key), bool)
-    for lag in range(1, len(key)):
-        near_by = key[lag:] - key[:-lag] <= DRIFT
-        if not near_by.any():
-            break
-        apart = np.abs(p[lag:] - p[:-lag])
-        met = near_by & (apart > 0) & (apart < PASSAGE)
-        hit[lag:] |= met
-        hit[:-lag] |= met
-    order = order[hit]
-    order = order[np.argsort(rank[terms[which[order]]], kind="stable")]
-    return owner[k[order]], at[order], place[k[order]]
+            ends[side] = i
+    return total, *run, ends[1] + 1, ends[0]
 
 
 def letters(texts: list[list[str]], edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,120 +188,242 @@ def hopeful(pages: tuple[np.ndarray, np.ndarray], items: tuple[np.ndarray, np.nd
     return right | step(1, 1, -1) & some([(2, 2), (3, 2), (2, 3)], -1)
 
 
-def anchors(items: dict[int, list[str]], freq: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """Term -> (item, position): in each window of PASSAGE words the ANCHORS rarest terms."""
-    out: dict[str, set[tuple[int, int]]] = {}
-    for item, words in items.items():
-        rank = [(freq.get(term(w), 0), p) for p, w in enumerate(words)]
-        for a in range(len(words) - PASSAGE + 1):
-            for _, p in sorted(rank[a : a + PASSAGE])[:ANCHORS]:
-                out.setdefault(term(words[p]), set()).add((item, p))
-    return {t: sorted(v) for t, v in out.items()}
+def number_of(word: str) -> int:
+    """32-bit number of a plain word's term; terms that share one only bring meetings that the words then deny."""
+    return xxhash.xxh32_intdigest(term(word)) - (1 << 31)
+
+
+def signature(before2: int, before: int, after: int, after2: int) -> int:
+    """Eight bits of each of the four neighbouring terms, as a signed number of 32 bits."""
+    x = (before2 & 255) | (before & 255) << 8 | (after & 255) << 16 | (after2 & 255) << 24
+    return x - (1 << 32) if x >> 31 else x
+
+
+def alike(x: Column, y: Column) -> Column:
+    """Whether two signatures agree on AGREE neighbours at least."""
+    z = x.bitwiseXOR(y)
+    equal = [(z.bitwiseAND(F.lit(255 << k)) == 0).cast("int") for k in (0, 8, 16)]
+    return sum(equal, (F.shiftrightunsigned(z, 24) == 0).cast("int")) >= AGREE
+
+
+def page_words(t: str | None, x, y, w) -> list[tuple[list[str], list[int]]]:
+    """The page's streams (all its lines, and what runs on without inserts): plain words, and places of words that end a line unbroken."""
+    out = []
+    for raws, ends in streams(t, x, y, w):
+        last, words, at = set(ends), [], []
+        for n, raw in enumerate(raws):
+            p = PLAIN[raw]
+            if p:
+                if n in last:
+                    at.append(len(words))
+                words.append(p)
+        out.append((words, at))
+    return out
+
+
+class Memo(dict):
+    """Values of a function of one word, kept while they are few."""
+
+    def __init__(self, f, most: int = 400_000):
+        super().__init__()
+        self.f, self.most = f, most
+
+    def __missing__(self, word: str):
+        if len(self) > self.most:
+            self.clear()
+        got = self[word] = self.f(word)
+        return got
+
+
+PLAIN, NUMBER = Memo(plain), Memo(number_of)
 
 
-def build_index(docs: DataFrame, vocabulary: dict[str, int], key: str, text: str, boxes: str) -> DataFrame:
-    """(id, words, terms array<int>, at array<int>): each page's words in reading order and its postings, in the shared folder.
+def term_table(docs: DataFrame, key: str, text: str, boxes: str) -> DataFrame:
+    """(id, stream, terms array<int>, joined array<struct<term, at, sig>>): each page's terms by place, by stream, in the shared folder.
 
-    A page with inserts has further rows: all its lines, and what runs on without them.
+    joined holds the terms that the halves of words broken at line ends without a sign would make together.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = docs.schema[key].dataType.simpleString()
     recs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, no, terms, ends, jt, ja, js, jends = [], [], [], [0], [], [], [], [0]
+            cols = [c.to_pylist() for c in batch.columns[1:]]
+            for k, (t, x, y, w) in enumerate(zip(*cols)):
+                for stream, (words, at) in enumerate(page_words(t, x, y, w)):
+                    own = [NUMBER[p] for p in words]
+                    for n in at:
+                        if n + 1 < len(words) and len(words[n]) > 2:
+                            around = [own[i] if 0 <= i < len(own) else 0 for i in (n - 2, n - 1, n + 2, n + 3)]
+                            jt.append(NUMBER[words[n] + words[n + 1]])
+                            ja.append(n)
+                            js.append(signature(*around))
+                    row.append(k)
+                    no.append(stream)
+                    terms += own
+                    ends.append(len(terms))
+                    jends.append(len(jt))
+            pairs = pa.StructArray.from_arrays([pa.array(np.array(v, np.int32)) for v in (jt, ja, js)], names=["term", "at", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(terms, np.int32))), pa.ListArray.from_arrays(pa.array(jends, pa.int32()), pairs)],
+                names=["id", "stream", "terms", "joined"],
+            )
+
+    return cut(recs.mapInArrow(run, f"id {kind}, stream int, terms array<int>, joined array<struct<term:int,at:int,sig:int>>"), "p6-terms")
+
+
+def item_terms(items: DataFrame, item_key: str, item_text: str, least: int) -> DataFrame:
+    """(item, m, p, term, sig): the terms of each item of at least `least` words, by place; m is the item's length."""
+    its = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("s")).where("s <> ''").dropDuplicates(["i"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = shared.value
-        known: dict[str, tuple[str, int]] = {}
         for pdf in batches:
             rows = []
-            for i, t, x, y, w in pdf.itertuples(index=False, name=None):
-                for raws, ends in streams(t, x, y, w):
-                    words, terms, at = [], [], []
-                    last = set(ends)
-                    for n, raw in enumerate(raws):
-                        got = known.get(raw)
-                        if got is None:
-                            if len(known) > 400_000:
-                                known.clear()
-                            p = plain(raw)
-                            got = known[raw] = (p, number.get(term(p), -1) if p else -1)
-                        if got[0]:
-                            if got[1] >= 0:
-                                terms.append(got[1])
-                                at.append(len(words))
-                            words.append(got[0])
-                            # A word broken at a line end without a sign leaves two halves; together they may be a term.
-                            if n in last and n + 1 < len(raws) and len(got[0]) > 2:
-                                k = number.get(term(got[0] + plain(raws[n + 1])))
-                                if k is not None:
-                                    terms.append(k)
-                                    at.append(len(words) - 1)
-                    rows.append((i, " ".join(words), terms, at))
-            yield pd.DataFrame(rows, columns=["id", "words", "terms", "at"])
-
-    return cut(recs.mapInPandas(run, f"id {recs.schema['id'].dataType.simpleString()}, words string, terms array<int>, at array<int>"), "p6-index")
-
-
-def _search(docs: DataFrame, items: dict[int, list[str]], key: str, text: str, boxes: str, least: int) -> DataFrame:
-    spark = docs.sparkSession
-    vocabulary = {t: n for n, t in enumerate(sorted({term(w) for ws in items.values() for w in ws}))}
-    index = build_index(docs, vocabulary, key, text, boxes)
-    names = list(vocabulary)
-    # Document frequencies of the block's terms only: as many rows as the block has terms.
-    freq = index.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    seen = {names[t]: n for t, n in zip(freq["t"], freq["n"])}
-    ids = sorted(items)
-    number = {i: k for k, i in enumerate(ids)}
-    laid = sorted((vocabulary[t], number[i], p) for t, v in anchors(items, seen).items() for i, p in v)
-    t, owner, place = (np.array(c, np.int64) for c in zip(*laid))
-    rank = np.array([seen.get(w, 0) for w in names], np.int64)
-    shared = spark.sparkContext.broadcast(([items[i] for i in ids], ids, (np.searchsorted(t, np.arange(len(names) + 1)), owner, place), rank))
+            for i, s in zip(pdf["i"], pdf["s"]):
+                ws = item_words(s)
+                if len(ws) >= least:
+                    own = [0, 0, *map(number_of, ws), 0, 0]
+                    rows += [(i, len(ws), p, own[p + 2], signature(own[p], own[p + 1], own[p + 3], own[p + 4])) for p in range(len(ws))]
+            yield pd.DataFrame(rows, columns=["item", "m", "p", "term", "sig"])
+
+    return its.mapInPandas(run, "item long, m int, p int, term int, sig int")
+
+
+def item_words(text: str) -> list[str]:
+    return [p for p in map(plain, text.split()) if p]
+
+
+def anchors(terms: DataFrame, pages: DataFrame, least: int) -> DataFrame:
+    """(item, p, term, sig, n): in each half of each window of `least` words of an item the ANCHORS terms with the shortest lists; n
+    is a list's length. Halves, as one damaged place shall not touch all anchors of a window."""
+    wanted = terms.select("term").distinct()
+    lists = pages.where("stream = 0").select(F.explode("terms").alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # A term that stands nowhere can't meet anything.
+    known = terms.join(lists, "term").withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - least + 1), F.least(F.col("p"), F.col("m") - least))))
+    order = Window.partitionBy("item", "w", (F.col("p") - F.col("w")) * 2 >= least).orderBy("n", "p")
+    return known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ANCHORS).select("item", "p", "term", "sig", "n").distinct()
+
+
+def build_index(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, part, id, stream, at, sig): the posting lists of the wanted terms (term, n), sorted by term and page; lists of over
+    LIST postings are split into parts by page. Written to the shared folder."""
+
+    def byte(k: int) -> Column:
+        return F.coalesce(F.get("terms", F.col("at") + k), F.lit(0)).bitwiseAND(F.lit(255))
+
+    sig = byte(-2).bitwiseOR(F.shiftleft(byte(-1), 8)).bitwiseOR(F.shiftleft(byte(1), 16)).bitwiseOR(F.shiftleft(byte(2), 24))
+    plainly = pages.select("id", "stream", "terms", F.posexplode("terms").alias("at", "term")).select("id", "stream", "term", "at", sig.alias("sig"))
+    joined = pages.select("id", "stream", F.explode("joined").alias("j")).select("id", "stream", "j.term", "j.at", "j.sig")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LIST).cast("int")).cast("int")
+    posts = plainly.unionByName(joined).join(wanted, "term").select("term", part.alias("part"), "id", "stream", "at", "sig")
+    return cut(posts.repartition("term", "part").sortWithinPartitions("term", "id", "stream", "at"), "p6-index")
+
+
+def meetings(index: DataFrame, laid: DataFrame) -> DataFrame:
+    """(id, stream, item, ps, ats): pages and items of which two anchors' lists, shifted by the anchors' places, meet at nearly one
+    offset, with the anchors' places in the item and on the page, in order of the offset."""
+    hits = index.alias("x").join(laid.alias("y"), (F.col("x.term") == F.col("y.term")) & alike(F.col("x.sig"), F.col("y.sig"))).select("id", "stream", "item", "p", "at")
+    # One page and one item a group: bounded by the page's words times the item's anchors.
+    met = hits.groupBy("id", "stream", "item").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("p")).alias("d"), "p", "at"))).alias("z")).where("n > 1")
+    close = F.exists(F.zip_with(F.slice("z", F.lit(2), F.col("n").cast("int") - 1), F.slice("z", F.lit(1), F.col("n").cast("int") - 1), lambda b, a: (b["d"] - a["d"] <= DRIFT) & (b["p"] != a["p"])), lambda x: x)
+    return met.where(close).select("id", "stream", "item", F.col("z.p").alias("ps"), F.col("z.at").alias("ats"))
+
+
+def meeting_points(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of a page's hits of one item, in order of at - p, stand within DRIFT of another one of the same window."""
+    d = at - p
+    hit = np.zeros(len(d), bool)
+    for lag in range(1, len(d)):
+        close = d[lag:] - d[:-lag] <= DRIFT
+        if not close.any():
+            break
+        apart = np.abs(p[lag:] - p[:-lag])
+        met = close & (apart > 0) & (apart < PASSAGE)
+        hit[lag:] |= met
+        hit[:-lag] |= met
+    return hit
+
+
+def follow_all(docs: list[list[str]], tests: list[list[str]], points: list[tuple], least: int) -> dict[tuple[int, int], list[tuple[int, bool, int, int]]]:
+    """points (stream's number, item's number, ps, ats) -> passages (words, exact, left, right) of each stream and item."""
+    start, dm, dl = letters(docs, -3000)
+    first, im, il = letters(tests, -1000)
+    found = []
+    for d, t, ps, ats in points:
+        p, at = np.asarray(ps, np.int64), np.asarray(ats, np.int64)
+        hit = meeting_points(p, at) & (at < len(docs[d])) & (p < len(tests[t]))
+        found.append((np.full(hit.sum(), d), np.full(hit.sum(), t), at[hit], p[hit]))
+    page, item, at, p = (np.concatenate(c) for c in zip(*found))
+    if least >= 8:
+        keep = hopeful((dm, dl), (im, il), start[page] + at, first[item] + p)
+        page, item, at, p = page[keep], item[keep], at[keep], p[keep]
+    out: dict[tuple[int, int], list[tuple[int, bool, int, int]]] = {}
+    done: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    memo: dict[tuple[str, str], bool] = {}
+    for d, t, a, q in zip(page.tolist(), item.tolist(), at.tolist(), p.tolist()):
+        runs = done.setdefault((d, t, a - q), [])
+        if any(lo <= q < hi for lo, hi in runs):
+            continue
+        words, lo, hi, left, right = passage(docs[d], tests[t], a, q, memo)
+        runs.append((lo, hi))
+        if words >= least:
+            same = right - left == words and f" {' '.join(docs[d][left:right])} " in f" {' '.join(tests[t])} "
+            out.setdefault((d, t), []).append((words, same, left, right))
+    return out
+
+
+def apart(spans: list[tuple[int, int]]) -> int:
+    """Most spans that don't overlap."""
+    n, end = 0, -1
+    for right, left in sorted((r, x) for x, r in spans):
+        if left >= end:
+            n, end = n + 1, right
+    return n
+
+
+def passages(pages: DataFrame, least: int) -> DataFrame:
+    """pages(id, t, x, y, w, ms array<struct<stream, item, ps, ats, s>>) -> (id, item_id, n_words, exact, passages)."""
+    kind = pages.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (tests, ids, lists, rank), memo = shared.value, {}
-        first, im, il = letters(tests, -1000)
         for pdf in batches:
             rows = []
             for k in range(0, len(pdf), TOGETHER):
-                part = pdf.iloc[k : k + TOGETHER]
-                docs = [words.split(" ") for words in part["words"]]
-                start, dm, dl = letters(docs, -3000)
-                found = [meetings(t.astype(np.int64), at.astype(np.int64), lists, rank) for t, at in zip(part["terms"], part["at"])]
-                item, at, p = (np.concatenate(c) for c in zip(*found))
-                page = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                if least >= 8:
-                    keep = hopeful((dm, dl), (im, il), start[page] + at, first[item] + p)
-                    page, item, at, p = page[keep], item[keep], at[keep], p[keep]
-                best: dict[tuple[int, int], int] = {}
-                done: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-                for n, t, a, q in zip(page.tolist(), item.tolist(), at.tolist(), p.tolist()):
-                    if best.get((n, t), 0) >= least:
-                        continue
-                    runs = done.setdefault((n, t, a - q), [])
-                    if not any(lo <= q < hi for lo, hi in runs):
-                        words, lo, hi = passage(docs[n], tests[t], a, q, memo)
-                        runs.append((lo, hi))
-                        best[n, t] = max(words, best.get((n, t), 0))
-                own = part["id"].tolist()
-                rows += [(own[n], ids[t], words) for (n, t), words in best.items() if words >= least]
-            yield pd.DataFrame(rows, columns=["id", "item_id", "n_words"])
-
-    found = index.mapInPandas(run, f"id {index.schema['id'].dataType.simpleString()}, item_id long, n_words int")
-    return found.groupBy("id", "item_id").agg(F.max("n_words").alias("n_words"))
+                docs, tests, points, owner, number = [], [], [], [], {}
+                for i, t, x, y, w, ms in pdf.iloc[k : k + TOGETHER][["id", "t", "x", "y", "w", "ms"]].itertuples(index=False, name=None):
+                    base = len(docs)
+                    docs += [words for words, _ in page_words(t, x, y, w)]
+                    owner += [i] * (len(docs) - base)
+                    for m in ms:
+                        if m["item"] not in number:
+                            number[m["item"]] = len(tests)
+                            tests.append(item_words(m["s"]))
+                        if base + m["stream"] < len(docs):
+                            points.append((base + m["stream"], number[m["item"]], m["ps"], m["ats"]))
+                if points:
+                    names = list(number)
+                    for (d, t), got in follow_all(docs, tests, points, least).items():
+                        words, same = max(g[:2] for g in got)
+                        rows.append((owner[d], names[t], words, same, apart([g[2:] for g in got])))
+            yield pd.DataFrame(rows, columns=["id", "item_id", "n_words", "exact", "passages"])
+
+    found = pages.mapInPandas(run, f"id {kind}, item_id long, n_words int, exact boolean, passages int")
+    best = found.groupBy("id", "item_id").agg(F.max(F.struct("n_words", "exact")).alias("b"), F.max("passages").alias("passages"))
+    return best.select("id", "item_id", "b.n_words", "b.exact", "passages")
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", boxes: str = "line_boxes", item_key: str = "item_id", item_text: str = "text", least: int = PASSAGE) -> DataFrame:
-    """(id, item_id, n_words): pages that hold at least `least` words in a row of an item's text (the anchors are laid for PASSAGE)."""
-    its = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("s")).where("s <> ''").dropDuplicates(["i"])
-    total = its.select(F.sum(F.char_length("s"))).first()[0] or 0
-    blocks = max(1, -(-total // (BLOCK_WORDS * 4)))
-    parts = []
-    for b in range(blocks):
-        rows = its.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toPandas()
-        block = {int(i): ws for i, s in zip(rows["i"], rows["s"]) if len(ws := [p for p in map(plain, s.split()) if p]) >= PASSAGE}
-        if block:
-            parts.append(_search(docs, block, key, text, boxes, least))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], f"id {docs.schema[key].dataType.simpleString()}, item_id long, n_words int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(id, item_id, n_words, exact, passages): pages that hold at least `least` words in a row of an item's text.
+
+    n_words is the longest passage; exact says whether it stands word for word; passages counts those that don't overlap.
+    """
+    pages = term_table(docs, key, text, boxes)
+    laid = cut(anchors(item_terms(items, item_key, item_text, least), pages, least), "p6-anchors")
+    index = build_index(pages, laid.groupBy("term").agg(F.first("n").alias("n")))
+    met = cut(meetings(index, laid), "p6-meetings")
+    texts = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("s")).where("s <> ''").dropDuplicates(["item"])
+    mine = met.join(texts, "item").groupBy("id").agg(F.collect_list(F.struct("stream", "item", "ps", "ats", "s")).alias("ms"))
+    raw = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''")
+    here = raw.join(F.broadcast(mine) if met.count() <= NARROW else mine, "id")
+    return passages(here, least)
