@@ -1,12 +1,12 @@
 """Problem 6: passages of test items inside a corpus of scanned pages.
 
 Method: a distributed positional inverted index. The corpus is read once, for all items: each page, in its own reading order,
-gives its terms with their positions (all of them, whatever the items ask for). In both halves of every window of the items' words the terms
-that are rarest in the corpus become anchors; their posting lists (term, page, position, signature of the neighbouring terms) are
-stored sorted by term, long lists in several parts. The lists, shifted by the anchor's place in the item, are intersected:
-wherever two anchors of an item, each with three of its four neighbours, meet at nearly one offset of a page, the
-phrase is followed word by word in both directions and given back as an exact phrase or as a proximity match (misread
-letters, broken and run-together words, an insert between).
+gives its terms by place (all of them, whatever the items ask for). Index terms are terms with the one that follows. In both halves of
+every window of the items' words the index terms that are rarest in the corpus become anchors; their posting lists (index
+term, page, position, signature of the neighbours) are stored sorted by index term, long lists in several parts. The lists, shifted
+by the anchor's place in the item, are intersected: wherever anchors of an item and their neighbours that agree meet at nearly
+one offset of a page, EVIDENCE of them at least, the phrase is followed word by word in both directions and given back as an exact
+phrase or as a proximity match (misread letters, broken and run-together words, an insert between).
 
 Terms are words with letters that a scanner confuses put into one class, so a misread letter mostly leaves its term alone.
 How rare a term is decides only which lists are read: whatever meets is followed.
@@ -35,14 +35,17 @@ from .reading import streams
 
 #: Words that must stand in a row, and anchors of each half of a window of that length.
 PASSAGE, ANCHORS = 20, 2
-#: Of an anchor's four neighbouring terms so many must agree, one may be misread.
-AGREE = 3
+#: Of the two terms before an anchor's first and the two after it so many must agree (the next one always does).
+AGREE = 2
+#: Anchors and agreeing neighbours that a meeting must have together: two whole anchors, or three with two neighbours each, of the
+#: four or more that a passage has.
+EVIDENCE = 10
 #: Offsets of two anchors of one passage differ by this much at most (words broken or run together shift them).
 DRIFT = 4
 #: Postings of a list that one task sorts and stores; longer lists are stored in parts.
 LIST = 1_000_000
-#: Most meetings that are broadcast to their pages (about 1 KB each); beyond it both sides are shuffled.
-NARROW = 20_000
+#: Most ids of pages with a meeting that are broadcast, so that only these pages are shuffled to their meetings.
+NARROW = 1_000_000
 #: Words of padding between texts laid one after another, and pages laid so at once.
 EDGE, TOGETHER = 6, 200
 #: Words of a page that may be skipped (an insert, a heading) inside a passage.
@@ -199,26 +202,15 @@ def signature(before2: int, before: int, after: int, after2: int) -> int:
     return x - (1 << 32) if x >> 31 else x
 
 
-def alike(x: Column, y: Column) -> Column:
-    """Whether two signatures agree on AGREE neighbours at least."""
+def agreeing(x: Column, y: Column) -> Column:
+    """How many of the four neighbours two signatures agree on."""
     z = x.bitwiseXOR(y)
-    equal = [(z.bitwiseAND(F.lit(255 << k)) == 0).cast("int") for k in (0, 8, 16)]
-    return sum(equal, (F.shiftrightunsigned(z, 24) == 0).cast("int")) >= AGREE
-
-
-def page_words(t: str | None, x, y, w) -> list[tuple[list[str], list[int]]]:
-    """The page's streams (all its lines, and what runs on without inserts): plain words, and places of words that end a line unbroken."""
-    out = []
-    for raws, ends in streams(t, x, y, w):
-        last, words, at = set(ends), [], []
-        for n, raw in enumerate(raws):
-            p = PLAIN[raw]
-            if p:
-                if n in last:
-                    at.append(len(words))
-                words.append(p)
-        out.append((words, at))
-    return out
+    return sum(((z.bitwiseAND(F.lit(255 << k)) == 0).cast("int") for k in (0, 8, 16)), (F.shiftrightunsigned(z, 24) == 0).cast("int"))
+
+
+def pair(first, second):
+    """Number of two terms in a row, for numbers and for columns alike; stays far inside 64 bits."""
+    return first * 1_000_003 + second
 
 
 class Memo(dict):
@@ -235,46 +227,94 @@ class Memo(dict):
         return got
 
 
-PLAIN, NUMBER = Memo(plain), Memo(number_of)
+NUMBER = Memo(number_of)
+#: White-space word -> (plain word, number of its term), or None where nothing is left of it.
+KNOWN = Memo(lambda raw: (p, number_of(p)) if (p := plain(raw)) else None)
+
 
+def page_words(t: str | None, x, y, w) -> list[list[str]]:
+    """Plain words of each of the page's streams (all its lines, and what runs on without inserts)."""
+    return [[k[0] for k in map(KNOWN.__getitem__, raws) if k] for raws, _, _ in streams(t, x, y, w)]
 
-def term_table(docs: DataFrame, key: str, text: str, boxes: str) -> DataFrame:
-    """(id, stream, terms array<int>, joined array<struct<term, at, sig>>): each page's terms by place, by stream, in the shared folder.
 
-    joined holds the terms that the halves of words broken at line ends without a sign would make together.
+def page_terms(t: str | None, x, y, w, least: int) -> Iterator[tuple[int, int, list[int], list[tuple[int, int, int]]]]:
+    """(stream, first place, terms, joined) of the page's streams; of what runs on without inserts only the `least` words on
+    both sides of what is left out, as all else stands in the first stream.
+
+    joined are (index term, place, signature) with the word that the halves of one broken at a line end without a sign would make.
     """
+    for stream, (raws, ends, joints) in enumerate(streams(t, x, y, w)):
+        got = list(map(KNOWN.__getitem__, raws))
+        if None in got:
+            # Places among plain words.
+            place, n = [], 0
+            for k in got:
+                place.append(n)
+                n += k is not None
+            place.append(n)
+            ends = [place[i] for i in ends if got[i]]
+            joints = [place[i] for i in joints]
+            got = [k for k in got if k]
+        own = [k[1] for k in got]
+        size = len(own)
+        joined = []
+        for n in ends:
+            if n + 1 < size and len(got[n][0]) > 2:
+                both = NUMBER[got[n][0] + got[n + 1][0]]
+                b3, b2, b1, a1, a2, a3 = (own[i] if 0 <= i < size else 0 for i in (n - 3, n - 2, n - 1, n + 2, n + 3, n + 4))
+                joined.append((pair(both, a1), n, signature(b2, b1, a1, a2)))
+                if n:
+                    joined.append((pair(b1, both), n - 1, signature(b3, b2, both, a1)))
+        if not stream:
+            yield 0, 0, own, joined
+            continue
+        spans: list[list[int]] = []
+        for j in joints:
+            lo, hi = max(0, j - least - 3), min(size, j + least + 4)
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
+        for lo, hi in spans:
+            yield stream, lo, own[lo:hi], [z for z in joined if lo <= z[1] < hi]
+
+
+def term_table(docs: DataFrame, key: str, text: str, boxes: str, least: int) -> DataFrame:
+    """(id, stream, first, terms array<int>, joined array<struct<key, at, sig>>): each page's terms by place, in the shared folder."""
     kind = docs.schema[key].dataType.simpleString()
     recs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, no, terms, ends, jt, ja, js, jends = [], [], [], [0], [], [], [], [0]
+            row, no, firsts, terms, ends, joined, jends = [], [], [], [], [0], [], [0]
             cols = [c.to_pylist() for c in batch.columns[1:]]
             for k, (t, x, y, w) in enumerate(zip(*cols)):
-                for stream, (words, at) in enumerate(page_words(t, x, y, w)):
-                    own = [NUMBER[p] for p in words]
-                    for n in at:
-                        if n + 1 < len(words) and len(words[n]) > 2:
-                            around = [own[i] if 0 <= i < len(own) else 0 for i in (n - 2, n - 1, n + 2, n + 3)]
-                            jt.append(NUMBER[words[n] + words[n + 1]])
-                            ja.append(n)
-                            js.append(signature(*around))
+                for stream, first, own, more in page_terms(t, x, y, w, least):
                     row.append(k)
                     no.append(stream)
+                    firsts.append(first)
                     terms += own
                     ends.append(len(terms))
-                    jends.append(len(jt))
-            pairs = pa.StructArray.from_arrays([pa.array(np.array(v, np.int32)) for v in (jt, ja, js)], names=["term", "at", "sig"])
+                    joined += more
+                    jends.append(len(joined))
+            jk, ja, js = zip(*joined) if joined else ((), (), ())
+            three = pa.StructArray.from_arrays([pa.array(np.array(jk, np.int64)), pa.array(np.array(ja, np.int32)), pa.array(np.array(js, np.int32))], names=["key", "at", "sig"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(terms, np.int32))), pa.ListArray.from_arrays(pa.array(jends, pa.int32()), pairs)],
-                names=["id", "stream", "terms", "joined"],
+                [
+                    batch.column(0).take(pa.array(row, pa.int64())),
+                    pa.array(no, pa.int32()),
+                    pa.array(firsts, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(terms, np.int32))),
+                    pa.ListArray.from_arrays(pa.array(jends, pa.int32()), three),
+                ],
+                names=["id", "stream", "first", "terms", "joined"],
             )
 
-    return cut(recs.mapInArrow(run, f"id {kind}, stream int, terms array<int>, joined array<struct<term:int,at:int,sig:int>>"), "p6-terms")
+    return cut(recs.mapInArrow(run, f"id {kind}, stream int, first int, terms array<int>, joined array<struct<key:bigint,at:int,sig:int>>"), "p6-terms")
 
 
 def item_terms(items: DataFrame, item_key: str, item_text: str, least: int) -> DataFrame:
-    """(item, m, p, term, sig): the terms of each item of at least `least` words, by place; m is the item's length."""
+    """(item, m, p, key, sig): the index terms of each item of at least `least` words, by place; m is the item's length."""
     its = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("s")).where("s <> ''").dropDuplicates(["i"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,50 +324,56 @@ def item_terms(items: DataFrame, item_key: str, item_text: str, least: int) -> D
                 ws = item_words(s)
                 if len(ws) >= least:
                     own = [0, 0, *map(number_of, ws), 0, 0]
-                    rows += [(i, len(ws), p, own[p + 2], signature(own[p], own[p + 1], own[p + 3], own[p + 4])) for p in range(len(ws))]
-            yield pd.DataFrame(rows, columns=["item", "m", "p", "term", "sig"])
+                    rows += [(i, len(ws), p, pair(own[p + 2], own[p + 3]), signature(own[p], own[p + 1], own[p + 3], own[p + 4])) for p in range(len(ws) - 1)]
+            yield pd.DataFrame(rows, columns=["item", "m", "p", "key", "sig"])
 
-    return its.mapInPandas(run, "item long, m int, p int, term int, sig int")
+    return its.mapInPandas(run, "item long, m int, p int, key long, sig int")
 
 
 def item_words(text: str) -> list[str]:
     return [p for p in map(plain, text.split()) if p]
 
 
+def _next(k: int) -> Column:
+    """The term k places after the one at place `at`, or null."""
+    return F.get("terms", F.col("at") + k)
+
+
 def anchors(terms: DataFrame, pages: DataFrame, least: int) -> DataFrame:
-    """(item, p, term, sig, n): in each half of each window of `least` words of an item the ANCHORS terms with the shortest lists; n
+    """(item, p, key, sig, n): in each half of each window of `least` words of an item the ANCHORS index terms with the shortest lists; n
     is a list's length. Halves, as one damaged place shall not touch all anchors of a window."""
-    wanted = terms.select("term").distinct()
-    lists = pages.where("stream = 0").select(F.explode("terms").alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    # A term that stands nowhere can't meet anything.
-    known = terms.join(lists, "term").withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - least + 1), F.least(F.col("p"), F.col("m") - least))))
+    wanted = terms.select("key").distinct()
+    every = pages.where("stream = 0").select("terms", F.posexplode("terms").alias("at", "term")).select(pair(F.col("term").cast("long"), _next(1)).alias("key"))
+    lists = every.join(wanted, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # What stands nowhere can't meet anything.
+    known = terms.join(lists, "key").withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - least + 1), F.least(F.col("p"), F.col("m") - least))))
     order = Window.partitionBy("item", "w", (F.col("p") - F.col("w")) * 2 >= least).orderBy("n", "p")
-    return known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ANCHORS).select("item", "p", "term", "sig", "n").distinct()
+    return known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ANCHORS).select("item", "p", "key", "sig", "n").distinct()
 
 
 def build_index(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, part, id, stream, at, sig): the posting lists of the wanted terms (term, n), sorted by term and page; lists of over
+    """(key, id, stream, at, sig): the posting lists of the wanted index terms (key, n), sorted by index term and page; lists of over
     LIST postings are split into parts by page. Written to the shared folder."""
 
-    def byte(k: int) -> Column:
-        return F.coalesce(F.get("terms", F.col("at") + k), F.lit(0)).bitwiseAND(F.lit(255))
+    def byte(k: int, shift: int) -> Column:
+        return F.shiftleft(F.coalesce(_next(k), F.lit(0)).bitwiseAND(F.lit(255)), shift)
 
-    sig = byte(-2).bitwiseOR(F.shiftleft(byte(-1), 8)).bitwiseOR(F.shiftleft(byte(1), 16)).bitwiseOR(F.shiftleft(byte(2), 24))
-    plainly = pages.select("id", "stream", "terms", F.posexplode("terms").alias("at", "term")).select("id", "stream", "term", "at", sig.alias("sig"))
-    joined = pages.select("id", "stream", F.explode("joined").alias("j")).select("id", "stream", "j.term", "j.at", "j.sig")
+    sig = byte(-2, 0).bitwiseOR(byte(-1, 8)).bitwiseOR(byte(1, 16)).bitwiseOR(byte(2, 24))
+    plainly = pages.select("id", "stream", "first", "terms", F.posexplode("terms").alias("at", "term")).select("id", "stream", (F.col("first") + F.col("at")).alias("at"), pair(F.col("term").cast("long"), _next(1)).alias("key"), sig.alias("sig"))
+    joined = pages.select("id", "stream", F.explode("joined").alias("j")).select("id", "stream", "j.at", "j.key", "j.sig")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LIST).cast("int")).cast("int")
-    posts = plainly.unionByName(joined).join(wanted, "term").select("term", part.alias("part"), "id", "stream", "at", "sig")
-    return cut(posts.repartition("term", "part").sortWithinPartitions("term", "id", "stream", "at"), "p6-index")
+    posts = plainly.unionByName(joined).join(wanted, "key").select("key", part.alias("part"), "id", "stream", "at", "sig")
+    return cut(posts.repartition("key", "part").sortWithinPartitions("key", "id", "stream", "at").drop("part"), "p6-index")
 
 
 def meetings(index: DataFrame, laid: DataFrame) -> DataFrame:
     """(id, stream, item, ps, ats): pages and items of which two anchors' lists, shifted by the anchors' places, meet at nearly one
-    offset, with the anchors' places in the item and on the page, in order of the offset."""
-    hits = index.alias("x").join(laid.alias("y"), (F.col("x.term") == F.col("y.term")) & alike(F.col("x.sig"), F.col("y.sig"))).select("id", "stream", "item", "p", "at")
+    offset with the evidence that it takes, with the anchors' places in the item and on the page, in order of the offset."""
+    hits = index.alias("x").join(laid.alias("y"), F.col("x.key") == F.col("y.key")).select("id", "stream", "item", "p", "at", (1 + agreeing(F.col("x.sig"), F.col("y.sig"))).alias("e")).where(F.col("e") > AGREE)
     # One page and one item a group: bounded by the page's words times the item's anchors.
-    met = hits.groupBy("id", "stream", "item").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("p")).alias("d"), "p", "at"))).alias("z")).where("n > 1")
-    close = F.exists(F.zip_with(F.slice("z", F.lit(2), F.col("n").cast("int") - 1), F.slice("z", F.lit(1), F.col("n").cast("int") - 1), lambda b, a: (b["d"] - a["d"] <= DRIFT) & (b["p"] != a["p"])), lambda x: x)
-    return met.where(close).select("id", "stream", "item", F.col("z.p").alias("ps"), F.col("z.at").alias("ats"))
+    met = hits.groupBy("id", "stream", "item").agg(F.sum("e").alias("e"), F.array_sort(F.collect_list(F.struct((F.col("at") - F.col("p")).alias("d"), "p", "at", "e"))).alias("z")).where(F.col("e") >= EVIDENCE)
+    near_by = F.exists("z", lambda a: F.aggregate(F.filter("z", lambda b: (b["d"] >= a["d"]) & (b["d"] <= a["d"] + DRIFT)), F.lit(0), lambda n, b: n + b["e"]) >= EVIDENCE)
+    return met.where(near_by).select("id", "stream", "item", F.col("z.p").alias("ps"), F.col("z.at").alias("ats"))
 
 
 def meeting_points(p: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -393,7 +439,7 @@ def passages(pages: DataFrame, least: int) -> DataFrame:
                 docs, tests, points, owner, number = [], [], [], [], {}
                 for i, t, x, y, w, ms in pdf.iloc[k : k + TOGETHER][["id", "t", "x", "y", "w", "ms"]].itertuples(index=False, name=None):
                     base = len(docs)
-                    docs += [words for words, _ in page_words(t, x, y, w)]
+                    docs += page_words(t, x, y, w)
                     owner += [i] * (len(docs) - base)
                     for m in ms:
                         if m["item"] not in number:
@@ -418,12 +464,15 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
     n_words is the longest passage; exact says whether it stands word for word; passages counts those that don't overlap.
     """
-    pages = term_table(docs, key, text, boxes)
+    pages = term_table(docs, key, text, boxes, least)
     laid = cut(anchors(item_terms(items, item_key, item_text, least), pages, least), "p6-anchors")
-    index = build_index(pages, laid.groupBy("term").agg(F.first("n").alias("n")))
+    index = build_index(pages, laid.groupBy("key").agg(F.first("n").alias("n")))
     met = cut(meetings(index, laid), "p6-meetings")
     texts = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("s")).where("s <> ''").dropDuplicates(["item"])
     mine = met.join(texts, "item").groupBy("id").agg(F.collect_list(F.struct("stream", "item", "ps", "ats", "s")).alias("ms"))
+    # The pages themselves are read again, those with a meeting only.
     raw = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''")
-    here = raw.join(F.broadcast(mine) if met.count() <= NARROW else mine, "id")
-    return passages(here, least)
+    ids = met.select("id").distinct()
+    if ids.count() <= NARROW:
+        raw = raw.join(F.broadcast(ids), "id", "left_semi")
+    return passages(raw.join(mine, "id"), least)

@@ -86,28 +86,58 @@ def is_market(x: str) -> bool:
     return x.rstrip(" .,")[-1:] in FIGURES and (".." in x or "  " in x or " ." in x or "—" in x or "–" in x or "…" in x) and MARKET.match(x) is not None
 
 
-def streams(text: str | None, xs, ys, ws) -> list[tuple[list[str], list[int]]]:
-    """The page's running words with all its lines, and, where that differs, without inserts by either margin."""
+def streams(text: str | None, xs, ys, ws) -> list[tuple[list[str], list[int], list[int]]]:
+    """The page's running words with all its lines, and, where that differs, without inserts by either margin.
+
+    Each with the places of words that end a line unbroken and, without inserts, the places before which lines are left out.
+    """
     lines = page_lines(text, xs, ys, ws)
-    out = [running_words(lines, False)]
-    for way in [lines, page_lines(text, xs, ys, ws, True)] if any(x[1] for x in lines) else [lines]:
-        got = running_words(way, True)
-        if all(got[0] != o[0] for o in out):
-            out.append(got)
+    out = [(*running_words(lines, False), [])]
+    way = [(x, inset or is_market(x)) for x, inset in lines]
+    if any(skip for _, skip in way):
+        kept = [way]
+        if any(inset for _, inset in lines):
+            other = [(x, inset or is_market(x)) for x, inset in page_lines(text, xs, ys, ws, True)]
+            if other != way:
+                kept.append(other)
+        out += [_without(k) for k in kept]
     return out
 
 
+def _without(lines: list[tuple[str, bool]]) -> tuple[list[str], list[int], list[int]]:
+    """running_words() of the lines that aren't to be skipped, and the places before which lines are left out."""
+    joints, parts, gap = [], [], False
+    for x, skip in lines:
+        gap |= skip and x.strip() != ""
+        if not skip:
+            if gap and parts:
+                joints.append(len(parts))
+            gap = False
+            parts.append((x, False))
+    words, ends, starts = _running(parts)
+    at = sorted({starts[j] for j in joints})
+    return words, ends, at
+
+
 def running_words(lines: list[tuple[str, bool]], drop_inserts: bool) -> tuple[list[str], list[int]]:
     """White-space words of the page, words broken at line ends joined, and the places of words that end a line unbroken.
 
     Adverts (lines set in) and market lists are left out if wanted.
     """
+    if drop_inserts:
+        lines = [(x, inset) for x, inset in lines if not inset and not is_market(x)]
+    words, ends, _ = _running(lines)
+    return words, ends
+
+
+def _running(lines: list[tuple[str, bool]]) -> tuple[list[str], list[int], list[int]]:
+    """Running words, the places of words that end a line unbroken, and how many words stand before each line."""
     out: list[str] = []
     ends: list[int] = []
+    starts: list[int] = []
     carry = ""
-    for x, inset in lines:
-        if drop_inserts and (inset or is_market(x)):
-            continue
+    for x, _ in lines:
+        starts.append(len(out))
         words = x.split()
         if not words:
             continue
@@ -122,4 +152,4 @@ def running_words(lines: list[tuple[str, bool]], drop_inserts: bool) -> tuple[li
             ends.append(len(out) - 1)
     if carry:
         out.append(carry)
-    return out, ends
+    return out, ends, starts
