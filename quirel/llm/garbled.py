@@ -5,8 +5,10 @@ information, improbable runs are isolated inside tokens as maximal-scoring segme
 mappings are tested: multi-byte sequences read through a one-byte charset (up to three times over), one-byte text read
 through another one-byte charset, and places where characters were lost.
 
-Defined results: null or empty texts are no case; the pair table holds at most PAIR_LIMIT pairs (the rest count as
-unseen, which is what their rarity says anyway); repeated rows give repeated results, callers make keys distinct.
+Pairs are counted over a fixed alphabet: ASCII and all characters that the one-byte charsets here can give; every other
+character counts as one and the same. So the table of pairs is bounded by that alphabet's square, whatever the corpus, and no pair is left out.
+
+Defined results: null or empty texts are no case; repeated rows give repeated results, callers make keys distinct.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most pairs kept for scoring; fixes the size of what is broadcast (two arrays of 8 bytes an entry, 2 MB).
-PAIR_LIMIT = 131_072
 #: A pair whose contribution to the mutual information is below this is improbable.
 IMPROBABLE = 2e-5
 #: Gain in log2 pair probability, a pair, that a one-byte mapping must bring.
@@ -41,8 +41,12 @@ DANGLING = re.compile(r"[a-zß-öø-ÿ][ÃÂ](?![A-ZÀ-Þ])|^Ã(?=\W*$)")
 NON_ASCII = re.compile(r"[^\x00-\x7F]")
 # Spaces and hidden characters, which problem 3 treats.
 KEEP = "\xa0\xad\u200b\u200c\u200d\u2060\ufeff"
-# Tokens of scripts without spaces are taken a stretch at a time.
-TOKEN = re.compile(r"[^ \t\r\n]{1,400}")
+# Tokens without spaces are taken a stretch at a time; none ends inside a run of characters outside ASCII.
+TOKEN = re.compile(r"[^ \t\r\n]{1,400}[^\x00-\x7F]*")
+#: Charsets whose characters make the alphabet of pairs, besides those above; letters of other scripts that a repair may give.
+ALPHABET_CODECS = ("cp1251", "koi8_r", "iso8859_5", "cp1253", "iso8859_2")
+#: Letters of another script than Latin that a token's repair must give at least: fewer may as well be meant as they stand.
+FOREIGN_LEAST = 3
 
 
 @functools.cache
@@ -59,8 +63,37 @@ def to_byte(codec: str) -> dict[str, int]:
     return out
 
 
+@functools.cache
+def alphabet() -> frozenset[str]:
+    """The characters that are counted as themselves."""
+    coded = {c for codec in (*WRONG_FOR_UTF8, *ALPHABET_CODECS) for c in to_byte(codec)}
+    return frozenset(coded | {chr(i) for i in range(0x180)} | set(PUNCT) | {"\ufffd"})
+
+
+#: What every character outside the alphabet counts as.
+OTHER = 0x10FFFF
+
+
+@functools.cache
+def code_table() -> np.ndarray:
+    """Code point -> itself in the alphabet, else OTHER."""
+    out = np.full(0x110000, OTHER, np.int32)
+    at = np.array(sorted(map(ord, alphabet())))
+    out[at] = at
+    return out
+
+
+def code(c: str) -> int:
+    return ord(c) if c in alphabet() else OTHER
+
+
+def foreign(c: str) -> bool:
+    """A letter of the alphabet that isn't Latin (Cyrillic, Greek)."""
+    return ord(c) >= 0x370 and c.isalpha() and c in alphabet()
+
+
 def good_char(c: str) -> bool:
-    return c in PUNCT or (unicodedata.category(c)[0] == "L" and ord(c) < 0x180)
+    return c in PUNCT or (unicodedata.category(c)[0] == "L" and ord(c) < 0x180) or foreign(c)
 
 
 def shows_nothing(c: str) -> bool:
@@ -97,6 +130,8 @@ def join_sequences(s: str) -> tuple[str, int, str | None, int]:
                     continue
             out.append(s[i])
             i += 1
+        if 0 < sum(map(foreign, out)) - sum(map(foreign, s)) < FOREIGN_LEAST:
+            continue
         if joined > best[1] or (joined == best[1] and joined and lost < best[3]):
             best = ("".join(out), joined, codec, lost)
     return best
@@ -104,21 +139,24 @@ def join_sequences(s: str) -> tuple[str, int, str | None, int]:
 
 def segments(scores: list[float]) -> list[tuple[int, int]]:
     """All maximal-scoring segments (start, end) of positive total, left to right (Ruzzo and Tompa's linear scan)."""
-    found: list[list[float]] = []  # start, end, left sum, right sum
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, left sum, right sum, nearest one before with a lesser left sum
     total = 0.0
     for i, x in enumerate(scores):
         before, total = total, total + x
         if x <= 0:
             continue
-        seg = [i, i + 1, before, total]
+        start, left = i, before
+        j = len(found) - 1
         while True:
-            j = next((j for j in range(len(found) - 1, -1, -1) if found[j][2] < seg[2]), None)
-            if j is None or found[j][3] >= seg[3]:
-                found.append(seg)
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
+                found.append((start, i + 1, left, total, j))
                 break
-            seg = [found[j][0], seg[1], found[j][2], seg[3]]
+            start, _, left, _, before_j = found[j]
             del found[j:]
-    return [(int(a), int(b)) for a, b, _, _ in found]
+            j = before_j
+    return [(a, b) for a, b, _, _, _ in found]
 
 
 class PairScores:
@@ -132,10 +170,10 @@ class PairScores:
             self.one[k >> 21] = self.one.get(k >> 21, 0) + n
 
     def logp(self, a: str, b: str) -> float:
-        return float(np.log2((self.n.get(ord(a) << 21 | ord(b), 0) + 0.02) / self.total))
+        return float(np.log2((self.n.get(code(a) << 21 | code(b), 0) + 0.02) / self.total))
 
     def seen(self, a: str, b: str) -> bool:
-        return ord(a) << 21 | ord(b) in self.n
+        return code(a) << 21 | code(b) in self.n
 
     def fill(self, before: str, options: list[str], after: str) -> str:
         """The option that goes best between two characters."""
@@ -149,10 +187,11 @@ class PairScores:
         """
         if a > "\x7f" and b > "\x7f":
             return 4.0
-        n = self.n.get(ord(a) << 21 | ord(b), 0)
+        a, b = code(a), code(b)
+        n = self.n.get(a << 21 | b, 0)
         if not n:
             return 6.0
-        pa, pb, pab = self.one.get(ord(a), 1) / self.total, self.one.get(ord(b), 1) / self.total, n / self.total
+        pa, pb, pab = self.one.get(a, 1) / self.total, self.one.get(b, 1) / self.total, n / self.total
         mi = pab * np.log2(pab / (pa * pb))
         return float(np.clip(np.log2(IMPROBABLE / max(mi, 1e-12)), -6, 6))
 
@@ -161,6 +200,7 @@ def count_pairs(df: DataFrame, text: str) -> DataFrame:
     """(pair, n) over all texts: a table of ASCII pairs by number, the rest by sorting, summed a batch at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = code_table()
         grid, rest = np.zeros(1 << 14, np.int64), {}
         for pdf in batches:
             for s in pdf["__t"]:
@@ -171,6 +211,8 @@ def count_pairs(df: DataFrame, text: str) -> DataFrame:
                 if s.isascii():
                     grid += np.bincount(x << 7 | y, minlength=1 << 14)
                     continue
+                a = codes[a].astype(np.int64)
+                x, y = a[:-1], a[1:]
                 low = (x < 128) & (y < 128)
                 grid += np.bincount(x[low] << 7 | y[low], minlength=1 << 14)
                 for k, n in zip(*(v.tolist() for v in np.unique(x[~low] << 21 | y[~low], return_counts=True))):
@@ -188,8 +230,8 @@ def count_pairs(df: DataFrame, text: str) -> DataFrame:
 
 
 def pair_scores(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The PAIR_LIMIT most frequent pairs: bounded, so it may be collected and broadcast."""
-    top = count_pairs(df, text).orderBy(F.desc("n"), "pair").limit(PAIR_LIMIT).toPandas()
+    """All pairs and their counts: at most the square of the alphabet (some 400 000), so they may be collected and broadcast."""
+    top = count_pairs(df, text).orderBy("pair").toPandas()
     return top["pair"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
@@ -201,14 +243,15 @@ def firm(tok: str, new: str) -> bool:
     return sum(c.isalnum() for c in new) > 1
 
 
-def one_byte_fixes(tok: str, ps: PairScores) -> dict[str, tuple[float, str, int, bool]]:
-    """Charset pair -> (gain, repaired token, places, firm): one-byte mappings that make the token's pairs far more probable."""
+def one_byte_fixes(tok: str, ps: PairScores, inside: set[int]) -> dict[str, tuple[float, str, int, bool]]:
+    """Charset pair -> (gain, repaired token, places, firm): one-byte mappings of the characters inside the improbable runs
+    (their places) that make the token's pairs far more probable."""
     padded, found = f" {tok} ", {}
     for wrong, right in ONE_BYTE:
         table = to_byte(wrong)
         new, n = [], 0
-        for c in tok:
-            b = table.get(c) if c > "\x7f" and c not in KEEP else None
+        for i, c in enumerate(tok):
+            b = table.get(c) if c > "\x7f" and c not in KEEP and i in inside else None
             if b is None:
                 new.append(c)
                 continue
@@ -272,15 +315,18 @@ def repair_token(tok: str, ps: PairScores) -> tuple[str, str | None, int, bool,
                 if c == "\ufffd" and 0 < k < len(whole) - 1:
                     whole = whole[:k] + ps.fill(whole[k - 1], QUOTES, whole[k + 1]) + whole[k + 1 :]
         return whole[1:-1], codec, places, lost or "\ufffd" in whole, {}
-    if "\ufffd" in tok:
-        return tok, "lost", tok.count("\ufffd"), True, {}
-    if fixes := one_byte_fixes(tok, ps):
+    inside = {i - 1 for a, b in spans for i in range(a, b)}
+    gone = sum(tok[i] == "\ufffd" for i in inside)
+    if gone:
+        return tok, "lost", gone, True, {}
+    if fixes := one_byte_fixes(tok, ps, inside):
         return tok, None, 0, False, fixes
-    if m := DANGLING.search(tok):
+    m = next((m for m in DANGLING.finditer(tok) if m.end() - 1 in inside), None)
+    if m:
         # The second byte's character was dropped: the letter that goes best with its neighbours.
         at = m.end() - 1
         return tok[:at] + ps.fill(padded[at], AFTER_LEAD[tok[at]], padded[at + 2]) + tok[at + 1 :], "lost", 1, True, {}
-    if re.search(r"[\x80-\x9f]", tok):
+    if any("\x80" <= tok[i] <= "\x9f" for i in inside):
         return tok, "lost", 1, True, {}
     return tok, None, 0, False, {}
 
