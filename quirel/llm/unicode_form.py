@@ -4,11 +4,15 @@ Method: dirty tokens (those with a character outside a safe set) are taken once
 points, broadcast-joined with a decomposition table and a look-alike table, combining marks are ordered by class, the
 characters are recomposed and the tokens, then the texts, are rebuilt. Clean texts pass through untouched.
 
+A token is what stands between white space, in stretches of at most STRETCH characters (with the marks after them) where it is longer, so no group grows
+with a text; letters of one word beyond that are judged by stretch.
+
 Defined results: null text gives null, empty text gives empty text; repeated rows stay repeated; a token wholly in another script stays as it is.
 """
 
 from __future__ import annotations
 
+import functools
 import sys
 import unicodedata
 
@@ -17,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quirel.session import cut
+
 # Letters of other scripts that look like a Latin letter, each followed by that letter.
 LOOKALIKE_CYRILLIC = "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT ХX ІI ЈJ ЅS УY ԌG ԚQ ԜW Ѵv ѵv ӏl"
 LOOKALIKE_GREEK = "οo αa ρp νv υu ιi κk τt χx γy ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϜF"
@@ -26,8 +32,14 @@ INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C,
 SAFE_CLASS = r"\x00-\x7E¡-¬®-´¶-ıĴ-ňŊ-ž‐-‧‰-⁞₠-⃏←-⋿─-➿�"
 DIRTY = f"[^{SAFE_CLASS}]"
 LATIN, OTHER = "L", "O"
+#: Characters of the longest stretch without white space that is taken as one token.
+STRETCH = 200
+TOKENS = rf"[ \t\r\n]+|[^ \t\r\n]{{1,{STRETCH}}}\p{{M}}{{0,{STRETCH}}}"
+# Letters of the Latin script that Unicode names otherwise (ordinal indicators, unit signs, forms for other widths).
+NOT_LATIN = "\u00AA\u00BA\u212A\u212B\uFF21-\uFF3A\uFF41-\uFF5A"
 
 
+@functools.cache
 def mapping_rows() -> list[tuple[int, str, str, int, str | None]]:
     """(code point, replacement, kind, combining class, Latin look-alike) of every character that the form changes or orders.
 
@@ -74,15 +86,8 @@ def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf(StringType())
-def _letter_script(s: pd.Series) -> pd.Series:
-    def one(c: str) -> str:
-        if not c[:1].isalpha():
-            return ""
-        return LATIN if unicodedata.name(c[0], "").startswith("LATIN") else OTHER
-
-    memo: dict[str, str] = {}
-    return s.map(lambda c: memo[c] if c in memo else memo.setdefault(c, one(c)))
+def _letter_script(c: Column) -> Column:
+    return F.when(~c.rlike(r"^\p{L}"), "").when(c.rlike(rf"^[\p{{IsLatin}}&&[^{NOT_LATIN}]]"), LATIN).otherwise(OTHER)
 
 
 def fix_tokens(tokens: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def fix_tokens(tokens: DataFrame) -> DataFrame:
     chars = tokens.select("token", F.posexplode(F.split("token", "")).alias("pos", "ch")).where("ch <> ''")
     chars = chars.withColumn("cp", F.expr("ascii(ch)"))  # Spark's ascii() gives the whole code point
     m = F.broadcast(mapping_table(spark))
-    x = chars.join(m, "cp", "left").withColumn("script", _letter_script("ch"))
+    x = chars.join(m, "cp", "left").withColumn("script", _letter_script(F.col("ch")))
     w = Window.partitionBy("token").orderBy("pos")
     inner = (F.col("script") != "") | F.col("kind").isin("hidden", "mark")
     x = x.withColumn("run", F.sum(F.when(inner, 0).otherwise(1)).over(w))
@@ -124,29 +129,30 @@ def fix_tokens(tokens: DataFrame) -> DataFrame:
 
 def normalize_forms(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys..., text_form, is_case): each text in the one form, and whether a letter, digit, space or hidden character differed."""
-    recs = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text).alias("__t"))
-    # Each row is rebuilt under a number of its own, so repeated rows stay apart and no text is shuffled to tell them.
-    recs = recs.withColumn("__row", F.monotonically_increasing_id())
-    ks = ["__row", *[f"__k{i}" for i in range(len(keys))]]
-    dirty = F.coalesce(F.col("__t").rlike(DIRTY), F.lit(False))
-    clean = recs.where(~dirty).select(*ks, F.col("__t").alias("text_form"), F.lit(False).alias("is_case"))
-    toks = recs.where(dirty).select(*ks, F.posexplode(F.split("__t", r"(?<=[ \t\r\n])|(?=[ \t\r\n])")).alias("pos", "token"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    recs = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(text).alias("__t"))
     bad = F.col("token").rlike(DIRTY)
+    dirty = F.coalesce(F.col("__t").rlike(DIRTY), F.lit(False))
+    clean = recs.where(~dirty).select(*names, F.col("__t").alias("text_form"), F.lit(False).alias("is_case"))
+    # Each row to be rebuilt gets a number of its own, so repeated rows stay apart; the numbers are written, as several branches read them.
+    work = cut(recs.where(dirty).withColumn("__row", F.monotonically_increasing_id()), "p3-rows")
+    ks = ["__row", *names]
+    toks = work.select(*ks, F.posexplode(F.regexp_extract_all("__t", F.lit(TOKENS), F.lit(0))).alias("pos", "token"))
     fixed = fix_tokens(toks.where(bad).select("token").distinct())
     done = toks.where(~bad).select(*ks, "pos", F.col("token").alias("fixed"), F.lit(False).alias("is_case")).unionByName(toks.where(bad).join(fixed, "token").select(*ks, "pos", "fixed", "is_case"))
     built = done.groupBy(*ks).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "fixed"))), lambda s: s["fixed"]), "").alias("text_form"),
         F.max("is_case").alias("is_case"),
     )
-    out = clean.unionByName(built)
-    return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "text_form", "is_case")
+    out = clean.unionByName(built.select(*names, "text_form", "is_case"))
+    return out.select(*[F.col(a).alias(k) for k, a in zip(keys, names)], "text_form", "is_case")
 
 
 def form_cases(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Keys of the texts with a case: the same token stage, without rebuilding whole texts."""
     ks = [f"__k{i}" for i in range(len(keys))]
     recs = df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(text).alias("__t")).where(F.col("__t").rlike(DIRTY))
-    toks = recs.select(*ks, F.explode(F.split("__t", r"[ \t\r\n]+")).alias("token")).where(F.col("token").rlike(DIRTY)).distinct()
+    toks = recs.select(*ks, F.explode(F.regexp_extract_all("__t", F.lit(TOKENS), F.lit(0))).alias("token")).where(F.col("token").rlike(DIRTY)).distinct()
     fixed = fix_tokens(toks.select("token").distinct()).where("is_case").select("token")
     hits = toks.join(fixed, "token", "left_semi").select(*ks).distinct()
     return hits.select(*[F.col(a).alias(k) for k, a in zip(keys, ks)])
