@@ -39,7 +39,7 @@ TARGET_RECALL = 0.999
 CROWDED, BLOCK = 16, 512
 #: Standard deviations by which the labels may fall short of the threshold before a candidate is dropped.
 MARGIN = 6.0
-#: Most records whose ids are broadcast to fetch their sets; beyond it they are joined by shuffling.
+#: Most nodes, or ids, (some 20 bytes each) that are broadcast to their leaves or texts; beyond it they are joined by shuffling.
 NARROW = 1_000_000
 SEED = 20240229
 WORD = re.compile(r"[^\W_]+")
@@ -131,8 +131,8 @@ def _level(rows: DataFrame, depth: int, threshold: float, slack: Column) -> Data
     A record goes deeper in its most crowded trees, in as many as the slack of its expected recall pays for.
     """
     rows = rows.withColumn("p", _prefix(depth)).withColumn("slack", slack)
-    sizes = rows.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = rows.join(sizes, ["tree", "p"])
+    sizes = cut(rows.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "p5-nodes")
+    shared = rows.join(F.broadcast(sizes) if sizes.count() <= NARROW else sizes, ["tree", "p"])
     if depth == DEEPEST:
         return shared.withColumn("deeper", F.lit(False))
     price = gain(threshold, depth) - gain(threshold, depth + 1)
