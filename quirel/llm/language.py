@@ -25,8 +25,9 @@ from .reading import page_lines, running_words
 
 #: Labelled pages a language that the models are fitted on, and rounds of fitting.
 SAMPLE, ROUNDS = 150, 3
-#: Price of a change of language, most that one word can count against a language, longest piece, longest word taken whole.
-SWITCH, CLIP, LONGEST, WORD_MAX = 7.0, 6.0, 8, 32
+#: Price of a change of language, most that one word can count against a language, and letters of a unit: longer words (scripts
+#: without spaces) are taken as several units, so that each part has its own score.
+SWITCH, CLIP, UNIT = 7.0, 6.0, 32
 #: Probability of a character outside the vocabulary, and weight of the pooled model in each language's.
 UNKNOWN, POOLED = 1e-7, 400.0
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -45,7 +46,7 @@ def pieces(path: str = "") -> dict[str, int]:
             continue
         p = p.replace("▁", "_")
         body = p[1:] if p[0] == "_" else p
-        if body.isalpha() and body == body.lower() and len(p) <= LONGEST:
+        if body.isalpha() and body == body.lower():
             out.setdefault(p, len(out))
     return out
 
@@ -56,6 +57,13 @@ def clean(word: str) -> str:
     return w if w.isalpha() else NOT_LETTER.sub("", w)
 
 
+def units(words: list[str]) -> list[str]:
+    """The words, those of more than UNIT characters in consecutive parts of that length."""
+    if not words or max(map(len, words)) <= UNIT:
+        return words
+    return [w[k : k + UNIT] for w in words for k in range(0, len(w), UNIT)]
+
+
 class PieceTable:
     """Pieces by the hash of their letters, one sorted table for each length, so that words are looked up side by side."""
 
@@ -63,6 +71,7 @@ class PieceTable:
 
     def __init__(self, vocab: dict[str, int]):
         self.size = len(vocab)
+        self.longest = max(map(len, vocab), default=1)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by: dict[int, list[tuple[int, int]]] = {}
         for p, i in vocab.items():
@@ -85,11 +94,12 @@ class PieceTable:
 def lattice(words: list[str], table: PieceTable) -> np.ndarray:
     """Piece numbers by word, end and length (words of one length); table.size is no piece, one more an unknown character."""
     n, none = len(words[0]) + 1, table.size
+    longest = min(table.longest, n)
     codes = np.frombuffer("".join("_" + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(words), n) + np.uint64(1)
-    out = np.full((len(words), n, LONGEST), none, np.int32)
+    out = np.full((len(words), n, longest), none, np.int32)
     h = codes
     out[:, :, 0] = table.find(1, h, none + 1)
-    for k in range(2, min(LONGEST, n) + 1):
+    for k in range(2, longest + 1):
         h = h[:, :-1] * PieceTable.PRIME + codes[:, k - 1 :]
         out[:, k - 1 :, k - 1] = table.find(k, h, none)
     return out
@@ -97,18 +107,18 @@ def lattice(words: list[str], table: PieceTable) -> np.ndarray:
 
 def forward(lat: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """alpha (word, place, language) of the lattice; prob is (piece, language)."""
-    w, n, _ = lat.shape
+    w, n, longest = lat.shape
     alpha = np.zeros((w, n + 1, prob.shape[1]))
     alpha[:, 0] = 1
     for j in range(1, n + 1):
-        for k in range(1, min(LONGEST, j) + 1):
+        for k in range(1, min(longest, j) + 1):
             alpha[:, j] += alpha[:, j - k] * prob[lat[:, j - 1, k - 1]]
     return alpha
 
 
 def expected(lat: np.ndarray, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Expected piece counts (piece, language) over all segmentations; count is (word, language)."""
-    w, n, _ = lat.shape
+    w, n, longest = lat.shape
     alpha = forward(lat, prob)
     beta = np.zeros_like(alpha)
     beta[:, n] = 1
@@ -116,12 +126,12 @@ def expected(lat: np.ndarray, prob: np.ndarray, count: np.ndarray) -> np.ndarray
     every, parts = [], []
     scale = count / np.maximum(alpha[:, n], 1e-300)
     for j in range(n, 0, -1):
-        for k in range(1, min(LONGEST, j) + 1):
+        for k in range(1, min(longest, j) + 1):
             ids = lat[:, j - 1, k - 1]
             p = prob[ids]
             beta[:, j - k] += beta[:, j] * p
     for j in range(1, n + 1):
-        for k in range(1, min(LONGEST, j) + 1):
+        for k in range(1, min(longest, j) + 1):
             ids = lat[:, j - 1, k - 1]
             every.append(ids)
             parts.append(alpha[:, j - k] * prob[ids] * beta[:, j] * scale)
@@ -154,13 +164,13 @@ class Model:
         out = np.zeros((len(words), len(self.langs)), np.float32)
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by.setdefault(min(len(w), WORD_MAX), []).append(i)
+            by.setdefault(len(w), []).append(i)
         for n, at in by.items():
             if not n:
                 continue
             for a in range(0, len(at), 2000):
                 part = at[a : a + 2000]
-                lat = lattice([words[i][:n] for i in part], self.table)
+                lat = lattice([words[i] for i in part], self.table)
                 s = np.log(np.maximum(forward(lat, self.prob)[:, -1], 1e-300))
                 out[part] = np.maximum(s - s.max(1, keepdims=True), -CLIP)
         return out
@@ -242,7 +252,7 @@ def fit(sample: pd.DataFrame, langs: list[str], vocab: dict[str, int]) -> Model:
     n, k = len(vocab), len(langs)
     number = {a: i for i, a in enumerate(langs)}
     memo: dict[str, str] = {}
-    pages = [[memo[w] if w in memo else memo.setdefault(w, clean(w)[:WORD_MAX]) for w in p] for p in sample["words"]]
+    pages = [[memo[w] if w in memo else memo.setdefault(w, clean(w)) for w in p] for p in sample["words"]]
     every = sorted({c for p in pages for c in p if c}, key=lambda c: (len(c), c))
     place = {c: i for i, c in enumerate(every, 1)} | {"": 0}
     lengths = np.array([len(p) for p in pages], np.int64)
@@ -285,12 +295,15 @@ def train(docs: DataFrame, alias: DataFrame, key: str = "doc_id", text: str = "t
     share = F.create_map(*[F.lit(v) for a, c in counts.items() for v in (a, min(1.0, SAMPLE / c))])
     pick = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_003)) < share[F.col("__l")] * 1_000_003
     pdf = labelled.join(named, F.col("__lab") == F.col("__a")).where(pick).toPandas().sort_values("id")
-    words = [running_words(page_lines(*r), False)[0] for r in pdf[["t", "x", "y", "w"]].itertuples(index=False, name=None)]
+    words = [units(running_words(page_lines(*r), False)[0]) for r in pdf[["t", "x", "y", "w"]].itertuples(index=False, name=None)]
     return fit(pd.DataFrame({"lang": pdf["__l"].to_numpy(), "words": words}), sorted(counts), pieces(path))
 
 
 def stretches(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", boxes: str = "line_boxes") -> DataFrame:
-    """(id, seg_no, lang, confidence, first_word, n_words, n_chars, page_chars): each page's stretches in one language."""
+    """(id, seg_no, lang, confidence, first_word, n_words, n_chars, page_chars): each page's stretches in one language.
+
+    Words are the page's white-space words, each part of a word of more than UNIT characters counting as one.
+    """
     schema = f"id {docs.schema[key].dataType.simpleString()}, seg_no int, lang string, confidence double, first_word int, n_words int, n_chars int, page_chars int"
     if model is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -302,7 +315,7 @@ def stretches(docs: DataFrame, model: Model | None, key: str = "doc_id", text: s
         for pdf in batches:
             for a in range(0, len(pdf), 1000):
                 part = pdf.iloc[a : a + 1000]
-                pages = [running_words(page_lines(*r), False)[0] for r in part[["t", "x", "y", "w"]].itertuples(index=False, name=None)]
+                pages = [units(running_words(page_lines(*r), False)[0]) for r in part[["t", "x", "y", "w"]].itertuples(index=False, name=None)]
                 paths, scores, starts, sizes = decode(m, pages)
                 rows = []
                 for i, path, s in zip(part["id"], paths, starts):
