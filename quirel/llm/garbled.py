@@ -101,7 +101,7 @@ def shows_nothing(c: str) -> bool:
     return unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf", "Zs")
 
 
-def join_sequences(s: str) -> tuple[str, int, str | None, int]:
+def join_sequences(s: str, least: int = FOREIGN_LEAST) -> tuple[str, int, str | None, int]:
     """Put multi-byte sequences that were read one byte at a time together again: (text, joined, codec, cut short)."""
     best = (s, 0, None, 0)
     for codec in WRONG_FOR_UTF8:
@@ -130,7 +130,7 @@ def join_sequences(s: str) -> tuple[str, int, str | None, int]:
                     continue
             out.append(s[i])
             i += 1
-        if 0 < sum(map(foreign, out)) - sum(map(foreign, s)) < FOREIGN_LEAST:
+        if 0 < sum(map(foreign, out)) - sum(map(foreign, s)) < least:
             continue
         if joined > best[1] or (joined == best[1] and joined and lost < best[3]):
             best = ("".join(out), joined, codec, lost)
@@ -276,7 +276,7 @@ def one_byte_fixes(tok: str, ps: PairScores, inside: set[int]) -> dict[str, tupl
     return found
 
 
-def repair_token(tok: str, ps: PairScores) -> tuple[str, str | None, int, bool, dict[str, tuple[float, str, int, bool]]]:
+def repair_token(tok: str, ps: PairScores, least: int = FOREIGN_LEAST) -> tuple[str, str | None, int, bool, dict[str, tuple[float, str, int, bool]]]:
     """(repaired token, charset, repaired places, whether characters were lost, one-byte mappings to choose from)."""
     padded = f" {tok} "
     runs = [(a, b) for a, b in segments([ps.improbable(x, y) for x, y in zip(padded, padded[1:])]) if NON_ASCII.search(padded[a : b + 1])]
@@ -296,11 +296,11 @@ def repair_token(tok: str, ps: PairScores) -> tuple[str, str | None, int, bool,
             spans.append([a, b])
     out, at, codec, places, lost = [], 0, None, 0, False
     for a, b in spans:
-        fixed, n, c, cut = join_sequences(padded[a:b])
+        fixed, n, c, cut = join_sequences(padded[a:b], least)
         for _ in range(2):
             if not n or not NON_ASCII.search(fixed):
                 break
-            again, n2, _, cut2 = join_sequences(fixed)
+            again, n2, _, cut2 = join_sequences(fixed, least)
             if not n2:
                 break
             fixed, cut = again, cut + cut2
@@ -361,6 +361,9 @@ def repair_text(text: str, ps: PairScores, memo: dict[str, tuple]) -> tuple[str,
             symbols = [ch for ch in tok if ch > "\x7f" and not ch.isalnum() and not shows_nothing(ch)]
             odd += sum(ch not in PUNCT for ch in symbols)
             plain.update(symbols)
+    if any(r[2] and any(map(foreign, r[0])) for _, r in got):
+        # Beside words that are sure to be of another script, short ones are taken as such too.
+        got = [(m, r if r[2] else repair_token(m[0], ps, 1)) for m, r in got]
     main = max(gains, key=lambda c: (gains[c], c)) if gains else None
     repairs = []
     for m, (fixed, c, n, gone, fixes) in got:
