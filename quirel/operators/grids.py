@@ -77,11 +77,11 @@ def grid_checks(cells: DataFrame) -> DataFrame:
 
 
 def pipe_cells(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Cells of the first pipe table of each text as a grid."""
-    lines = df.where(F.col(text).rlike(r"(?m)^\|.*\|")).select(F.col(key).alias("grid"), F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.col("line").rlike(r"^\|.*\|[ \t]*$"))
-    w = Window.partitionBy("grid").orderBy("at")
+    """Cells of every pipe table of each text; a grid is named by the text's key and the table's number in it."""
+    lines = df.where(F.col(text).rlike(r"(?m)^\|.*\|")).select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("at", "line")).where(F.col("line").rlike(r"^\|.*\|[ \t]*$"))
+    w = Window.partitionBy("doc").orderBy("at")
     run = lines.withColumn("isle", F.col("at") - F.row_number().over(w))
-    first = run.withColumn("f", F.min("isle").over(Window.partitionBy("grid"))).where("isle = f AND NOT line RLIKE '^[|: -]*-{3,}[|: -]*$'")
-    rows = first.withColumn("row_no", F.row_number().over(w) - 1)
+    run = run.withColumn("grid", F.concat_ws(":", "doc", F.dense_rank().over(Window.partitionBy("doc").orderBy("isle"))))
+    rows = run.where(r"NOT line RLIKE '^[|: -]*-{3,}[|: -]*$'").withColumn("row_no", F.row_number().over(Window.partitionBy("grid").orderBy("at")) - 1)
     cells = F.slice(F.split(F.rtrim("line"), r"\|"), 2, F.greatest(F.size(F.split(F.rtrim("line"), r"\|")) - 2, F.lit(0)))
     return rows.select("grid", "row_no", F.posexplode(cells).alias("col_no", "c")).select("grid", "row_no", "col_no", F.trim("c").alias("text"))

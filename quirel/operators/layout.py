@@ -95,17 +95,30 @@ def overlap_area(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column
     return F.greatest(F.least(ax2, bx2) - F.greatest(ax1, bx1), zero) * F.greatest(F.least(ay2, by2) - F.greatest(ay1, by1), zero)
 
 
+#: Side of the squares by which items meet regions that hold for every page.
+SQUARE = 100.0
+
+
 def assign_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
     """Each item to the one region of its page that it overlaps most; ties to the first region, no overlap no region.
 
-    regions(region_no, rx1, ry1, rx2, ry2) holds for every page, or has a page_no column.
+    regions(region_no, rx1, ry1, rx2, ry2) with the columns that say which pages they are of (result_id, page_no or both): joined by
+    these. Without any they hold for every page; then items and regions meet in the squares of a grid that both cover.
     """
-    on = "page_no" in regions.columns
+    on = [c for c in ("result_id", "page_no") if c in regions.columns]
     x1, y1 = F.col("x").cast("double"), F.col("y").cast("double")
-    area = overlap_area(x1, y1, x1 + F.col("width").cast("double"), y1 + F.col("height").cast("double"), F.col("rx1"), F.col("ry1"), F.col("rx2"), F.col("ry2"))
-    meets = (F.col("x") < F.col("rx2")) & (F.col("x") + F.col("width") > F.col("rx1"))
-    j = df.join(F.broadcast(regions), "page_no") if on else df.join(F.broadcast(regions), meets)
-    j = j.withColumn("area", area).where("area > 0")
+    x2, y2 = x1 + F.col("width").cast("double"), y1 + F.col("height").cast("double")
+    if not on:
+
+        def squares(a: Column, b: Column) -> Column:
+            lo = F.floor(a / SQUARE)
+            return F.sequence(lo, F.greatest(lo, F.floor(b / SQUARE)))
+
+        df = df.where(x2.isNotNull() & y2.isNotNull()).withColumn("__sx", F.explode(squares(x1, x2))).withColumn("__sy", F.explode(squares(y1, y2)))
+        regions = regions.withColumn("__sx", F.explode(squares(F.col("rx1"), F.col("rx2")))).withColumn("__sy", F.explode(squares(F.col("ry1"), F.col("ry2"))))
+        on = ["__sx", "__sy"]
+    area = overlap_area(x1, y1, x2, y2, F.col("rx1"), F.col("ry1"), F.col("rx2"), F.col("ry2"))
+    j = df.join(regions.select(*on, "region_no", "rx1", "ry1", "rx2", "ry2"), on).withColumn("area", area).where("area > 0")
     return j.groupBy("result_id", "page_no", "item_no").agg(F.max_by("region_no", F.struct("area", -F.col("region_no"))).alias("region_no"), F.round(F.max("area"), 2).alias("area"))
 
 
@@ -136,28 +149,31 @@ def item_joins(df: DataFrame) -> DataFrame:
 
 
 def structure_paths(elems: DataFrame, root: str = "Document") -> DataFrame:
-    """(elem_id, depth, path) of each structure element below its root, level by level (cycles are never entered).
+    """(elem_id, depth, path) of each structure element below a root, however deep; elements of cycles or of missing parents have none.
 
-    A round is one join; the rounds are as many as the tree is deep, and each level's rows are written out.
+    Pointer jumping: each round every element takes over its ancestor's ancestor, so the rounds grow with the logarithm of the depth; a
+    round's rows are written out and the round before deleted. Ids alone are followed first, so that only rows that reach a root carry paths.
     """
-    from quirel.session import cut
-
-    e = cut(elems.select("elem_id", "parent_id", "child_no", "struct_role").dropDuplicates(["elem_id"]), "elements")
-    level = e.where("parent_id IS NULL").select("elem_id", F.lit(0).alias("depth"), F.col("struct_role").alias("path"))
-    out = []
-    for depth in range(64):
-        level = cut(level, "level")
-        if not level.limit(1).count():
-            break
-        out.append(level)
-        up = level.select(F.col("elem_id").alias("parent_id"), F.col("path").alias("up"))
-        level = e.join(up, "parent_id").select("elem_id", F.lit(depth + 1).alias("depth"), F.concat_ws("/", "up", "struct_role").alias("path"))
-    if not out:
-        return elems.select("elem_id", F.lit(0).alias("depth"), F.lit("").alias("path")).limit(0)
-    res = out[0]
-    for x in out[1:]:
-        res = res.unionByName(x)
-    return res
+    from quirel.session import cut, discard
+
+    e = cut(elems.select("elem_id", "parent_id", "struct_role").where("elem_id IS NOT NULL").dropDuplicates(["elem_id"]), "elements")
+    rounds = max(1, e.count()).bit_length() + 1
+
+    def jump(rows: DataFrame, paths: bool) -> DataFrame:
+        for _ in range(rounds):
+            todo = rows.where("up IS NOT NULL")
+            if not todo.limit(1).count():
+                break
+            above = rows.select(F.col("elem_id").alias("up"), F.col("up").alias("up2"), *([F.col("depth").alias("d2"), F.col("path").alias("p2")] if paths else []))
+            moved = todo.join(above, "up").select("elem_id", F.col("up2").alias("up"), *([(F.col("depth") + F.col("d2") + 1).alias("depth"), F.concat_ws("/", "p2", "path").alias("path")] if paths else []))
+            new = cut(rows.where("up IS NULL").unionByName(moved), "paths")
+            discard(rows)
+            rows = new
+        return rows
+
+    free = jump(cut(e.select("elem_id", F.col("parent_id").alias("up")), "paths"), False).where("up IS NULL").select("elem_id")
+    start = e.join(free, "elem_id").select("elem_id", F.col("parent_id").alias("up"), F.lit(0).alias("depth"), F.coalesce("struct_role", F.lit("")).alias("path"))
+    return jump(cut(start, "paths"), True).select("elem_id", "depth", "path")
 
 
 def page_text(pages: DataFrame) -> Column:

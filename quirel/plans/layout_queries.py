@@ -73,16 +73,25 @@ RUNNING_HEADS = rf"""WITH x AS (SELECT coalesce(paper_code, '') AS paper, doc_id
  p AS (SELECT paper, count(*) AS n_all, avg(span) AS span FROM (SELECT paper, doc_id, max(line_no) - min(line_no) AS span FROM x GROUP BY ALL) GROUP BY paper),
  g AS (SELECT paper, norm, count(DISTINCT doc_id) AS n_pages, stddev_pop(line_no) AS sd, min(doc_id) AS first_page FROM r WHERE (up <= 5 OR down <= 5) AND strlen(norm) >= 10 AND NOT regexp_matches(norm, '^(?:#|- |\* |• )|^[0-9].*(?:\. |\) )') GROUP BY ALL)
  SELECT paper, norm, n_pages, first_page FROM g JOIN p USING (paper) WHERE n_all >= 3 AND n_pages >= greatest(3, floor(n_all * 30 / 100)) AND sd < 0.05 * greatest(span, 1.0)"""
-REGIONS = [(0, 0.0, 400.0, 300.0, 900.0), (1, 250.0, 350.0, 700.0, 900.0), (2, 0.0, 0.0, 700.0, 420.0)]
+def _regions(it: DataFrame) -> DataFrame:
+    """Three regions of each page, by the extent of its items: two upper ones that overlap, and the lower part."""
+    at = [F.min(F.col("x").cast("double")), F.max(F.col("x").cast("double")), F.min(F.col("y").cast("double")), F.max(F.col("y").cast("double"))]
+    p = it.groupBy("result_id", "page_no").agg(*[a.alias(n) for a, n in zip(at, ("x1", "x2", "y1", "y2"))])
+    third = lambda k: F.expr(f"x1 + (x2 - x1) * {k} / 3")
+    mid = F.expr("(y1 + y2) / 2")
+    box = lambda n, a, b, c, e: F.struct(F.lit(n).alias("region_no"), a.alias("rx1"), b.alias("ry1"), c.alias("rx2"), e.alias("ry2"))
+    far, top = F.col("x2") + 600, F.col("y2") + 40
+    return p.select("result_id", "page_no", F.explode(F.array(box(0, F.col("x1"), mid, third(2), top), box(1, third(1), mid, far, top), box(2, F.col("x1"), F.col("y1"), far, mid))).alias("r")).select("result_id", "page_no", "r.*")
 
 
 def region_assign(spark: SparkSession, d: str) -> DataFrame:
-    r = spark.createDataFrame(REGIONS, "region_no int, rx1 double, ry1 double, rx2 double, ry2 double")
-    return layout.assign_regions(_items(spark, d), r)
+    it = _items(spark, d)
+    return layout.assign_regions(it, _regions(it))
 
 
-REGION_ASSIGN = f"""WITH {ITEMS}, r AS (SELECT * FROM (VALUES {', '.join(map(str, REGIONS))}) t(region_no, rx1, ry1, rx2, ry2)), c AS (SELECT result_id, page_no, item_no, region_no,
- greatest(least(CAST(x AS DOUBLE) + CAST(width AS DOUBLE), rx2) - greatest(CAST(x AS DOUBLE), rx1), 0) * greatest(least(CAST(y AS DOUBLE) + CAST(height AS DOUBLE), ry2) - greatest(CAST(y AS DOUBLE), ry1), 0) AS area FROM i, r)
+REGION_ASSIGN = f"""WITH {ITEMS}, p AS (SELECT result_id, page_no, min(CAST(x AS DOUBLE)) AS x1, max(CAST(x AS DOUBLE)) AS x2, min(CAST(y AS DOUBLE)) AS y1, max(CAST(y AS DOUBLE)) AS y2 FROM i GROUP BY ALL),
+ r AS (SELECT result_id, page_no, 0 AS region_no, x1 AS rx1, (y1 + y2) / 2 AS ry1, x1 + (x2 - x1) * 2 / 3 AS rx2, y2 + 40 AS ry2 FROM p UNION ALL SELECT result_id, page_no, 1, x1 + (x2 - x1) * 1 / 3, (y1 + y2) / 2, x2 + 600, y2 + 40 FROM p UNION ALL SELECT result_id, page_no, 2, x1, y1, x2 + 600, (y1 + y2) / 2 FROM p),
+ c AS (SELECT i.result_id, i.page_no, item_no, region_no, greatest(least(CAST(x AS DOUBLE) + CAST(width AS DOUBLE), rx2) - greatest(CAST(x AS DOUBLE), rx1), 0) * greatest(least(CAST(y AS DOUBLE) + CAST(height AS DOUBLE), ry2) - greatest(CAST(y AS DOUBLE), ry1), 0) AS area FROM i JOIN r ON i.result_id = r.result_id AND i.page_no = r.page_no)
  SELECT result_id, page_no, item_no, CAST(region_no AS INT) AS region_no, round(area, 2) AS area FROM (SELECT *, row_number() OVER (PARTITION BY result_id, page_no, item_no ORDER BY area DESC, region_no) AS n FROM c WHERE area > 0) WHERE n = 1"""
 
 
@@ -180,9 +189,9 @@ def header_vote(spark: SparkSession, d: str) -> DataFrame:
     return grids.header_rows(grids.pipe_cells(table(spark, d, "pdf_result"), "result_id", "markdown"))
 
 
-CELLS = r"""ln AS (SELECT result_id AS grid, unnest(range(len(string_split(markdown, chr(10))))) AS pos, unnest(string_split(markdown, chr(10))) AS line FROM pdf_result WHERE regexp_matches(markdown, '(?m)^\|.*\|')),
- pl AS (SELECT *, pos - row_number() OVER (PARTITION BY grid ORDER BY pos) AS isle FROM ln WHERE regexp_matches(line, '^\|.*\|[ \t]*$')), fl AS (SELECT *, min(isle) OVER (PARTITION BY grid) AS f FROM pl),
- rw AS (SELECT grid, row_number() OVER (PARTITION BY grid ORDER BY pos) - 1 AS row_no, string_split(rtrim(line, ' '), '|') AS parts FROM fl WHERE isle = f AND NOT regexp_matches(line, '^[|: -]*-{3,}[|: -]*$')),
+CELLS = r"""ln AS (SELECT DISTINCT result_id AS doc, unnest(range(len(string_split(markdown, chr(10))))) AS pos, unnest(string_split(markdown, chr(10))) AS line FROM pdf_result WHERE regexp_matches(markdown, '(?m)^\|.*\|')),
+ pl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc ORDER BY pos) AS isle FROM ln WHERE regexp_matches(line, '^\|.*\|[ \t]*$')), fl AS (SELECT *, doc || ':' || dense_rank() OVER (PARTITION BY doc ORDER BY isle) AS grid FROM pl),
+ rw AS (SELECT grid, row_number() OVER (PARTITION BY grid ORDER BY pos) - 1 AS row_no, string_split(rtrim(line, ' '), '|') AS parts FROM fl WHERE NOT regexp_matches(line, '^[|: -]*-{3,}[|: -]*$')),
  cl AS (SELECT grid, row_no, unnest(range(greatest(len(parts) - 2, 0))) AS col_no, trim(unnest(parts[2:len(parts) - 1]), ' ') AS text FROM rw)"""
 KINDS = f"""kv AS (SELECT grid, col_no, k FROM (SELECT *, {_value_kind_sql('text')} AS k FROM cl WHERE row_no > 0 AND row_no <= 50) WHERE k IS NOT NULL),
  ck AS (SELECT grid, col_no, CASE WHEN count_if(k = 'number') * 10 >= count(*) * 9 THEN 'number' WHEN count_if(k = 'bool') * 10 >= count(*) * 9 THEN 'bool' WHEN count_if(k = 'date') * 10 >= count(*) * 9 THEN 'date' WHEN count_if(k = 'text') * 10 >= count(*) * 9 THEN 'text' END AS kind FROM kv GROUP BY grid, col_no)"""
@@ -292,9 +301,8 @@ def borderless_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def region_text(spark: SparkSession, d: str) -> DataFrame:
-    r = spark.createDataFrame(REGIONS, "region_no int, rx1 double, ry1 double, rx2 double, ry2 double")
     it = _items(spark, d)
-    return geometry.region_text(it, layout.assign_regions(it, r))
+    return geometry.region_text(it, layout.assign_regions(it, _regions(it)))
 
 
 REGION_TEXT = REGION_ASSIGN.replace("WITH ", "WITH q AS (WITH ", 1) + ") SELECT q.result_id, q.page_no, region_no, string_agg(coalesce(text, ''), ' ' ORDER BY -round(y), x, q.item_no) AS text FROM q JOIN (SELECT DISTINCT ON (result_id, page_no, item_no) * FROM pdf_item) i ON q.result_id = i.result_id AND q.page_no = i.page_no AND q.item_no = i.item_no GROUP BY ALL"

@@ -19,8 +19,8 @@ from .package import detect
 
 INPUT_MAX = 500 << 20
 RESULT = "title string, category string, format string, markdown string, n_blocks int, warnings array<string>, error_code string, error_message string"
-BLOCKS = "block_no int, parent_no int, kind string, level int, text string, marker string, lang string"
-CELLS = "block_no int, row_no int, col_no int, is_origin boolean, row_span int, col_span int, is_header boolean, text string"
+BLOCKS = "block_no int, parent_no int, kind string, level int, text string, marker string, lang string, error_code string"
+CELLS = "block_no int, row_no int, col_no int, is_origin boolean, row_span int, col_span int, is_header boolean, text string, error_code string"
 #: Extensions of each reader.
 READERS = {"docx": "docx docm dotx", "xlsx": "xlsx xlsm", "pptx": "pptx pptm ppsx ppsm potx", "odt": "odt ott", "ods": "ods ots", "odp": "odp otp", "epub": "epub", "rtf": "rtf", "csv": "csv", "html": "html htm xhtml", "pdf": "pdf", "doc": "doc", "ppt": "ppt pps pot", "xls": "xls"}
 BY_EXTENSION = {e: k for k, v in READERS.items() for e in v.split()}
@@ -155,6 +155,23 @@ def flat_cells(doc: Document) -> list[tuple]:
     return rows
 
 
+def _whole(data) -> bytes:
+    if data is None:
+        raise ConvertError("missing", "no bytes")
+    return bytes(data)
+
+
+def _rows_or_error(key, names: list[str], make: Callable[[], list[tuple]]) -> list[tuple]:
+    """A file's rows, or one row of nulls with the code of what is wrong with it."""
+    try:
+        return [(key, *r, None) for r in make()]
+    except ConvertError as x:
+        code = x.code
+    except Exception:  # noqa: BLE001 - whatever a broken file raises
+        code = "malformed"
+    return [(key, *[None] * (len(names) - 1), code)]
+
+
 def _explode(files: DataFrame, key: str, name: str, data: str, schema: str, flat: Callable[[Document], list[tuple]]) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
     recs = files.select(F.col(key).alias("__k"), F.col(name).alias("__n"), F.col(data).alias("__d"))
@@ -163,10 +180,7 @@ def _explode(files: DataFrame, key: str, name: str, data: str, schema: str, flat
         for pdf in batches:
             rows = []
             for k, n, d in pdf.itertuples(index=False, name=None):
-                try:
-                    rows += [(k, *r) for r in flat(to_document(bytes(d), BY_EXTENSION.get(extension(n)) or detect(bytes(d)) or ""))]
-                except Exception:  # noqa: BLE001, S112 - convert() reports what is wrong with a file
-                    continue
+                rows += _rows_or_error(k, names, lambda d=d, n=n: flat(to_document(_whole(d), BY_EXTENSION.get(extension(n)) or detect(bytes(d)) or "")))
             yield pd.DataFrame(rows, columns=["__k", *names]).astype(object)
 
     return recs.mapInPandas(run, f"__k {recs.schema['__k'].dataType.simpleString()}, {schema}").withColumnRenamed("__k", key)
@@ -180,8 +194,8 @@ def cells(files: DataFrame, key: str = "doc_id", name: str = "file_name", data:
     return _explode(files, key, name, data, CELLS, flat_cells)
 
 
-ITEMS = "page_no int, item_no int, text string, x float, y float, width float, font string, font_size float, mcid long"
-SIGNALS = "page_no int, text_operator_count int, has_images boolean, has_template_image boolean, total_image_area long, image_count int, unique_text_chars int, unique_alphanum_chars int, path_op_count int, has_vector_text boolean, has_identity_h_no_tounicode boolean, has_only_type3_fonts boolean, font_change_count int, has_decodable_text_fonts boolean"
+ITEMS = "page_no int, item_no int, text string, x float, y float, width float, font string, font_size float, mcid long, error_code string"
+SIGNALS = "page_no int, text_operator_count int, has_images boolean, has_template_image boolean, total_image_area long, image_count int, unique_text_chars int, unique_alphanum_chars int, path_op_count int, has_vector_text boolean, has_identity_h_no_tounicode boolean, has_only_type3_fonts boolean, font_change_count int, has_decodable_text_fonts boolean, error_code string"
 
 
 def _pdf_rows(files: DataFrame, key: str, data: str, schema: str, rows_of: Callable[[dict], list[tuple]]) -> DataFrame:
@@ -194,10 +208,7 @@ def _pdf_rows(files: DataFrame, key: str, data: str, schema: str, rows_of: Calla
         for pdf in batches:
             rows = []
             for k, d in pdf.itertuples(index=False, name=None):
-                try:
-                    rows += [(k, *r) for r in rows_of(P.process(bytes(d)))]
-                except Exception:  # noqa: BLE001, S112
-                    continue
+                rows += _rows_or_error(k, names, lambda d=d: rows_of(P.process(_whole(d))))
             yield pd.DataFrame(rows, columns=["__k", *names]).astype(object)
 
     return recs.mapInPandas(run, f"__k {recs.schema['__k'].dataType.simpleString()}, {schema}").withColumnRenamed("__k", key)

@@ -42,17 +42,36 @@ class Compound:
             if s < 0xFFFFFFFA:
                 self.fat += struct.unpack(f"<{self.size // 4}I", self.sector(s))
         self.entries: list[tuple[str, int, int, int]] = []
+        #: Directory place -> (name, kind, left sibling, right sibling, child).
+        self.tree: dict[int, tuple[str, int, int, int, int]] = {}
         d = self.chain(first_dir)
         for i in range(0, len(d) - 127, 128):
             e = d[i : i + 128]
             n = struct.unpack_from("<H", e, 64)[0]
             if e[66] in (1, 2, 5):
+                self.tree[i // 128] = (e[: max(0, n - 2)].decode("utf-16-le", "replace"), e[66], *struct.unpack_from("<III", e, 68))
                 self.entries.append((e[: max(0, n - 2)].decode("utf-16-le", "replace"), e[66], struct.unpack_from("<I", e, 116)[0], struct.unpack_from("<Q", e, 120)[0] & 0xFFFFFFFF))
         root = next((x for x in self.entries if x[1] == 5), None)
         self.ministream = self.chain(root[2]) if root else b""
         raw = self.chain(first_mini) if first_mini < 0xFFFFFFFA else b""
         self.minifat = list(struct.unpack(f"<{len(raw) // 4}I", raw[: len(raw) // 4 * 4]))
 
+    def root_streams(self) -> set[str]:
+        """Names of the streams that lie directly in the root, not in an embedded document's storage."""
+        todo = [child for _, kind, _, _, child in self.tree.values() if kind == 5]
+        seen: set[int] = set()
+        names = set()
+        while todo:
+            at = todo.pop()
+            if at in seen or at not in self.tree:
+                continue
+            seen.add(at)
+            name, kind, left, right, _ = self.tree[at]
+            if kind == 2:
+                names.add(name)
+            todo += [left, right]
+        return names
+
     def sector(self, n: int) -> bytes:
         s = self.data[(n + 1) * self.size : (n + 2) * self.size]
         return s + b"\0" * (self.size - len(s))

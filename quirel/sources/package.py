@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from urllib.parse import unquote
@@ -13,13 +14,23 @@ from .model import ConvertError
 #: Decompressed bytes an entry and a package, entries, depth and elements of an XML part.
 ENTRY_MAX, TOTAL_MAX, ENTRIES_MAX, DEPTH_MAX, NODES_MAX = 128 << 20, 512 << 20, 100_000, 256, 2_000_000
 OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
-STRICT = {
-    "http://purl.oclc.org/ooxml/wordprocessingml/main": "http://schemas.openxmlformats.org/wordprocessingml/2006/main",
-    "http://purl.oclc.org/ooxml/spreadsheetml/main": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
-    "http://purl.oclc.org/ooxml/presentationml/main": "http://schemas.openxmlformats.org/presentationml/2006/main",
-    "http://purl.oclc.org/ooxml/drawingml/main": "http://schemas.openxmlformats.org/drawingml/2006/main",
-    "http://purl.oclc.org/ooxml/officeDocument/relationships": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
-}
+# Where the URIs of the strict form of office packages begin, and those of the usual form.
+STRICT_ROOT, USUAL_ROOT = "http://purl.oclc.org/ooxml/", "http://schemas.openxmlformats.org/"
+# What names a format in a main part's content type, and in a manifest's media type.
+MAIN_TYPES = {"wordprocessingml": "docx", "ms-word": "docx", "spreadsheetml": "xlsx", "ms-excel": "xlsx", "presentationml": "pptx", "ms-powerpoint": "pptx"}
+MEDIA_TYPES = {"opendocument.text": "odt", "opendocument.spreadsheet": "ods", "opendocument.presentation": "odp", "epub+zip": "epub"}
+
+
+def usual_uri(uri: str) -> str | None:
+    """The usual form of a strict URI (family, year of the first edition, rest), or None if it isn't one."""
+    family, slash, tail = uri.removeprefix(STRICT_ROOT).partition("/")
+    return f"{USUAL_ROOT}{family}/2006/{tail}" if uri.startswith(STRICT_ROOT) and slash else None
+
+
+def declared_encoding(head: bytes) -> str | None:
+    """The encoding that an XML declaration names."""
+    m = re.search(rb"encoding\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", head)
+    return (m[1] if m[1] is not None else m[2]).decode("ascii", "replace") if m else None
 
 
 def local(tag: str) -> str:
@@ -52,7 +63,7 @@ def all_of(e: ET.Element, name: str) -> list[ET.Element]:
 
 def parse_xml(data: bytes) -> ET.Element:
     """Element tree of a part; depth and size are counted while reading, entity declarations are refused."""
-    if b"<!ENTITY" in data[:65536]:
+    if b"<!ENTITY" in data:
         raise ConvertError("malformed", "entity declarations aren't read")
     root, depth, nodes = None, 0, 0
     try:
@@ -126,9 +137,19 @@ class Package:
         out = {}
         for r in root if root is not None else ():
             target, outside = r.get("Target", ""), r.get("TargetMode") == "External"
-            out[r.get("Id", "")] = (r.get("Type", "").rsplit("/", 1)[-1], target if outside else resolve(part, target), outside)
+            kind = r.get("Type", "")
+            out[r.get("Id", "")] = ((usual_uri(kind) or kind).rsplit("/", 1)[-1], target if outside else resolve(part, target), outside)
         return out
 
+    def content_type(self, part: str) -> str | None:
+        """A part's content type: its own override, else the default of its extension."""
+        types = self.optional("[Content_Types].xml")
+        if types is None:
+            return None
+        own = next((e.get("ContentType") for e in kids(types, "Override") if e.get("PartName", "").lower() == f"/{part}".lower()), None)
+        ext = part.rsplit(".", 1)[-1].lower() if "." in part else None
+        return own or next((e.get("ContentType") for e in kids(types, "Default") if e.get("Extension", "").lower() == ext), None)
+
     def main_part(self) -> str | None:
         rels = self.rels("")
         return next((t for _, (k, t, _) in sorted(rels.items()) if k == "officeDocument"), None)
@@ -146,20 +167,27 @@ def detect(data: bytes) -> str | None:
     if data[:5] == b"{\\rtf":
         return "rtf"
     if data[:8] == OLE:
-        wide = lambda s: s.encode("utf-16-le")
-        for name, kind in (("WordDocument", "doc"), ("PowerPoint Document", "ppt"), ("Workbook", "xls"), ("Book", "xls")):
-            if wide(name) in data:
-                return kind
-        return None
+        from .ole import Compound
+
+        try:
+            names = Compound(data).root_streams()
+        except Exception:  # noqa: BLE001 - whatever is broken, it isn't a known container
+            return None
+        return next((kind for name, kind in (("WordDocument", "doc"), ("PowerPoint Document", "ppt"), ("Workbook", "xls"), ("Book", "xls")) if name in names), None)
     if data[:4] == b"PK\x03\x04":
         try:
             p = Package(data)
             mime = (p.part("mimetype") or b"").decode("latin-1").strip()
-            for key, kind in (("opendocument.text", "odt"), ("opendocument.spreadsheet", "ods"), ("opendocument.presentation", "odp"), ("epub+zip", "epub")):
-                if key in mime:
-                    return kind
+            manifest = p.optional("META-INF/manifest.xml")
+            if not mime and manifest is not None:
+                mime = next((attr(e, "media-type", "") for e in kids(manifest, "file-entry") if attr(e, "full-path") == "/"), "")
+            if kind := next((k for name, k in MEDIA_TYPES.items() if name in mime), None):
+                return kind
             main = p.main_part()
             root = p.optional(main)
+            typed = p.content_type(main) if main else None
+            if typed and (kind := next((k for name, k in MAIN_TYPES.items() if name in typed.lower()), None)):
+                return kind
             if root is not None:
                 return {"document": "docx", "workbook": "xlsx", "presentation": "pptx"}.get(local(root.tag))
             for path, kind in (("word/document.xml", "docx"), ("xl/workbook.xml", "xlsx"), ("ppt/presentation.xml", "pptx"), ("META-INF/container.xml", "epub"), ("content.xml", "odt")):

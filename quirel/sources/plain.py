@@ -111,7 +111,7 @@ def rtf(data: bytes) -> Document:
     heads = styles_of(data)
     m = re.search(rb"\\ansicpg(\d+)", data[:4096])
     codepage = f"cp{int(m[1])}" if m else "cp1252"
-    fonts = {int(a): CODEPAGES.get(int(b), codepage) for a, b in re.findall(rb"\{\\f(\d+)[^{}]*?\\fcharset(\d+)", data[:200_000])}
+    fonts = {int(a): CODEPAGES.get(int(b), codepage) for a, b in re.findall(rb"\{\\f(\d+)[^{}]*?\\fcharset(\d+)", data)}
     state = {"bold": False, "italic": False, "strike": False, "skip": False, "uc": 1, "cp": codepage, "dest": "", "href": None}
     stack: list[dict] = []
     runs: list[Run] = []
