@@ -266,14 +266,21 @@ def fill_cells(cells: list[tuple[float, float, float, float]], items: list[Item]
 
 
 def _pages(df: DataFrame, schema: str, fn: Callable[[list[Item]], Iterator[tuple]]) -> DataFrame:
-    """fn over each page's items; columns result_id and page_no come first."""
-    names = [f.split()[0] for f in schema.split(", ")]
+    """fn over each page's items, in order of their numbers; columns result_id and page_no come first.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        items = [r for r in pdf.to_dict("records") if r["text"]]
-        return pd.DataFrame([(*map(int, key), *r) for r in fn(items)], columns=["result_id", "page_no", *names])
+    A page's items are gathered as one row, so that whole batches of pages go to Python at once; null and empty texts are left out.
+    """
+    page = ["result_id", "page_no"]
+    names = ["item_no", *[c for c in ("text", "x", "y", "width", "height", "font", "font_size", "is_bold", "is_italic", "is_underline", "is_strikeout", "mcid") if c in df.columns]]
+    its = df.where("text <> ''").dropna(subset=["x", "y", "width", "font_size"]).dropDuplicates([*page, "item_no"]).groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("its"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*page, *(f.split()[0] for f in schema.split(", "))]
+        for pdf in batches:
+            rows = [(r, p, *x) for r, p, ts in pdf.itertuples(index=False, name=None) for x in fn([dict(t) for t in ts])]
+            yield pd.DataFrame(rows, columns=columns).astype(object)
 
-    return df.dropDuplicates(["result_id", "page_no", "item_no"]).groupBy("result_id", "page_no").applyInPandas(run, f"result_id long, page_no int, {schema}")
+    return its.mapInPandas(run, f"result_id long, page_no int, {schema}")
 
 
 def merged(df: DataFrame) -> DataFrame:

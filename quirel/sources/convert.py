@@ -222,6 +222,40 @@ def pdf_pages(files: DataFrame, key: str = "doc_id", data: str = "data") -> Data
     return _pdf_rows(files, key, data, SIGNALS, lambda g: [tuple(s.values()) for s in g["signals"]])
 
 
+ELEMENTS = "elem_id int, parent_id int, child_no int, struct_role string, alt_text string, actual_text string, lang string, page_no int, mcid int, error_code string"
+TABLES = "page_no int, table_no int, detector string, n_rows int, n_cols int, markdown string, error_code string"
+LINKS = "page_no int, x1 double, y1 double, x2 double, y2 double, target string, error_code string"
+FIELDS = "name string, kind string, page_no int, value string, error_code string"
+
+
+def pdf_structure(files: DataFrame, key: str = "doc_id", data: str = "data") -> DataFrame:
+    """Structure elements of tagged PDFs; an element with several marked contents has a row for each."""
+    return _pdf_rows(files, key, data, ELEMENTS, lambda g: [(n.elem_id, n.parent_id, n.child_no, n.role, n.alt, n.actual, n.lang, page, mcid) for n in g["nodes"] for mcid, page in n.content or [(None, None)]])
+
+
+def pdf_tables(files: DataFrame, key: str = "doc_id", data: str = "data") -> DataFrame:
+    """Tables of each page with the detector that found them."""
+
+    def rows(g: dict) -> list[tuple]:
+        from . import pdf as P
+
+        return [(p.no, i, t[3], len(t[0]), max(map(len, t[0])), P.pipe(t[0])) for p in g["pages"] for i, t in enumerate(P.find_tables(p, g["tagged"]), 1)]
+
+    return _pdf_rows(files, key, data, TABLES, rows)
+
+
+def pdf_links(files: DataFrame, key: str = "doc_id", data: str = "data") -> DataFrame:
+    from .tagged import links
+
+    return _pdf_rows(files, key, data, LINKS, lambda g: links(g["pdf"]))
+
+
+def pdf_fields(files: DataFrame, key: str = "doc_id", data: str = "data") -> DataFrame:
+    from .tagged import form_fields
+
+    return _pdf_rows(files, key, data, FIELDS, lambda g: form_fields(g["pdf"]))
+
+
 def read_files(spark: SparkSession, root: str, pattern: str = "*", max_bytes: int = INPUT_MAX) -> DataFrame:
     """(doc_id, file_name, size_bytes, data) of files under an allowed root; larger ones are listed without bytes."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)

@@ -197,13 +197,17 @@ class Pdf:
             raise ConvertError("malformed", "no catalog")
         self.root = root
         self.pages: list[dict] = []
-        self.walk(self.get(root.get("Pages")), {}, 0, set())
+        #: Object number of a page -> its place in the document, from 1.
+        self.page_no: dict[int, int] = {}
+        self.walk(root.get("Pages"), {}, 0, set())
 
     def get(self, o):
-        for _ in range(32):
-            if not isinstance(o, Ref):
-                return o
+        passed: set[int] = set()
+        while isinstance(o, Ref):
             n = o.n
+            if n in passed:
+                return None
+            passed.add(n)
             if n not in self.cache:
                 if n not in self.at:
                     return None
@@ -216,7 +220,7 @@ class Pdf:
                     v = Stream(v, self.data[m.end() : end if end >= 0 else len(self.data)])
                 self.cache[n] = v
             o = self.cache[n]
-        return None
+        return o
 
     def bytes(self, s: Stream) -> bytes:
         f, p = self.get(s.d.get("Filter")), self.get(s.d.get("DecodeParms"))
@@ -242,15 +246,18 @@ class Pdf:
                 out = unpredict(out, ps[k])
         return out
 
-    def walk(self, node, inherited: dict, depth: int, seen: set) -> None:
+    def walk(self, ref, inherited: dict, depth: int, seen: set) -> None:
+        node = self.get(ref)
         if not isinstance(node, dict) or depth > 64 or id(node) in seen or len(self.pages) > 100_000:
             return
         seen.add(id(node))
         own = {**inherited, **{k: node[k] for k in ("Resources", "MediaBox", "CropBox", "Rotate") if k in node}}
         if "Kids" in node:
             for k in self.get(node["Kids"]) or []:
-                self.walk(self.get(k), own, depth + 1, seen)
+                self.walk(k, own, depth + 1, seen)
         else:
+            if isinstance(ref, Ref):
+                self.page_no[ref.n] = len(self.pages) + 1
             self.pages.append({**own, **node})
 
     def content(self, page: dict) -> bytes:
@@ -410,6 +417,7 @@ class PageData:
     no: int
     items: list[TextItem] = field(default_factory=list)
     rules: list[tuple[float, float, float, float]] = field(default_factory=list)
+    rects: list[tuple[float, float, float, float]] = field(default_factory=list)
     text_ops: int = 0
     images: int = 0
     image_area: int = 0
@@ -446,6 +454,7 @@ def run_content(pdf: Pdf, data: bytes, res: dict, ctm, out: PageData, depth: int
     args: list = []
     marks: list[int | None] = []
     path: list[tuple] = []
+    boxes: list[tuple] = []
     at = (0.0, 0.0)
 
     def num(k: int) -> float:
@@ -567,12 +576,13 @@ def run_content(pdf: Pdf, data: bytes, res: dict, ctm, out: PageData, depth: int
                 if min(abs(x2 - x1), abs(y2 - y1)) < 2:
                     path.append((x1, y1, x2, y1) if abs(x2 - x1) > abs(y2 - y1) else (x1, y1, x1, y2))
                 else:
-                    path += [(x1, y1, x2, y1), (x1, y2, x2, y2), (x1, y1, x1, y2), (x2, y1, x2, y2)]
+                    boxes.append((min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2)))
         elif o in ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*"):
             out.rules += path
-            path = []
+            out.rects += boxes
+            path, boxes = [], []
         elif o == "n":
-            path = []
+            path, boxes = [], []
         elif o == "BI":
             out.images += 1
             end = re.search(rb"[\s]EI(?=[\s]|$)", data[r.pos :])
@@ -683,8 +693,34 @@ def pipe(rows: list[list[str]]) -> str:
 BULLET = re.compile(r"^[•●○◦▪*–-]\s+")
 
 
-def markdown(pages: list[PageData]) -> str:
-    """Pages as Markdown: headings by size, lists, ruled tables, paragraphs joined over lines."""
+def frames(p: PageData) -> list[tuple[float, float, float, float]]:
+    """The page's rules, and the edges of its rectangles."""
+    return p.rules + [e for a, b, c, d in p.rects for e in ((a, b, c, b), (a, d, c, d), (a, b, a, d), (c, b, c, d))]
+
+
+def find_tables(p: PageData, tagged: list) -> list[tuple[list[list[str]], set[int], float, str]]:
+    """(rows, item numbers, upper edge, detector) of a page's tables, from the top: tagged ones first, then what rectangles, rules and text show of the rest."""
+    from quirel.operators import drawn
+
+    from .tagged import tables_of_page
+
+    out = [(*t, "tagged") for t in tables_of_page(p.items, tagged, p.no)]
+    taken = set().union(*(t[1] for t in out)) if out else set()
+    if not p.rects and not p.rules and not any(t.text.rstrip().endswith(":") for t in p.items):
+        return out
+    free = [k for k in range(len(p.items)) if k not in taken]
+    its = [{"text": t.text, "x": t.x, "y": t.y, "width": t.width, "font_size": max(t.size, 1.0)} for t in (p.items[k] for k in free)]
+    out += [(t.rows, {free[k] for k in t.used}, t.top, t.detector) for t in drawn.page_tables(its, p.rects, p.rules)]
+    taken = set().union(*(t[1] for t in out)) if out else set()
+    free = [k for k in free if k not in taken]
+    rest = ruled_table([p.items[k] for k in free], frames(p)) if len(free) >= 4 else None
+    if rest:
+        out.append((rest[0], {free[k] for k in rest[1]}, rest[2], "frames"))
+    return sorted(out, key=lambda t: -t[2])
+
+
+def markdown(pages: list[PageData], tagged: list = ()) -> str:
+    """Pages as Markdown: headings by size, lists, tables, paragraphs joined over lines."""
     sizes: Counter = Counter()
     for p in pages:
         for t in p.items:
@@ -699,9 +735,9 @@ def markdown(pages: list[PageData]) -> str:
     heads = repeated(pages)
     out: list[str] = []
     for p in pages:
-        table = ruled_table(p.items, p.rules)
-        rest = [t for k, t in enumerate(p.items) if not table or k not in table[1]]
-        placed = not table
+        tables = find_tables(p, tagged)
+        used = set().union(*(t[1] for t in tables)) if tables else set()
+        rest = [t for k, t in enumerate(p.items) if k not in used]
         for col in columns(rest):
             para: list[str] = []
             last: Line | None = None
@@ -717,10 +753,9 @@ def markdown(pages: list[PageData]) -> str:
             for ln in group_lines(col):
                 if not ln.text or (p.no > 1 and edge_key(ln.text) in heads) or re.fullmatch(r"[-–—]?\s*\d{1,4}\s*[-–—]?", ln.text) and (last is None):
                     continue
-                if not placed and ln.y < table[2]:
+                while tables and ln.y < tables[0][2]:
                     close()
-                    out.append(pipe(table[0]))
-                    placed = True
+                    out.append(pipe(tables.pop(0)[0]))
                 level = next((i + 1 for i, t in enumerate(tiers) if abs(t - ln.size) <= 0.5), None)
                 short = len(ln.text) > 3 and len(ln.text.split()) <= 15
                 if level and short:
@@ -738,8 +773,7 @@ def markdown(pages: list[PageData]) -> str:
                     para.append(ln.text)
                 last = ln
             close()
-        if not placed:
-            out.append(pipe(table[0]))
+        out += [pipe(t[0]) for t in tables]
     text = "\n\n".join(out)
     text = re.sub(r"(?m)^(- .*)\n\n(?=- )", r"\1\n", text)
     return text + "\n" if text else ""
@@ -762,8 +796,16 @@ def repeated(pages: list[PageData]) -> set[str]:
 
 def process(data: bytes) -> dict:
     """A PDF's class, pages' signals, items and Markdown."""
-    pdf = Pdf(data)
+    from .tagged import repair_names, structure, tagged_tables
+
+    pdf = Pdf(repair_names(data))
     pages, warnings = [], []
+    try:
+        nodes = structure(pdf)
+    except Exception as x:  # noqa: BLE001
+        nodes = []
+        warnings.append(f"structure: {x}")
+    tagged = tagged_tables(nodes)
     for no, p in enumerate(pdf.pages, 1):
         try:
             pages.append(read_page(pdf, p, no))
@@ -777,4 +819,4 @@ def process(data: bytes) -> dict:
     images = any(s["has_images"] or s["has_vector_text"] for s in sig)
     ratio = sum(text) / max(1, len(text))
     kind = "Mixed" if any(text) and any(s["has_template_image"] for s in sig) else "TextBased" if ratio >= 0.6 or not images and any(p.text_ops for p in pages) else "Mixed" if any(text) else "Scanned" if not any(p.text_ops for p in pages) else "ImageBased"
-    return {"kind": kind, "pages": pages, "signals": sig, "needs_ocr": [s["page_no"] for s, t in zip(sig, text) if not t and (kind != "TextBased" or s["has_identity_h_no_tounicode"])], "markdown": markdown(pages) if kind in ("TextBased", "Mixed") else "", "warnings": warnings}
+    return {"kind": kind, "pages": pages, "signals": sig, "needs_ocr": [s["page_no"] for s, t in zip(sig, text) if not t and (kind != "TextBased" or s["has_identity_h_no_tounicode"])], "markdown": markdown(pages, tagged) if kind in ("TextBased", "Mixed") else "", "warnings": warnings, "pdf": pdf, "nodes": nodes, "tagged": tagged}
