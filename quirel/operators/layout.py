@@ -122,6 +122,15 @@ def assign_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
     return j.groupBy("result_id", "page_no", "item_no").agg(F.max_by("region_no", F.struct("area", -F.col("region_no"))).alias("region_no"), F.round(F.max("area"), 2).alias("area"))
 
 
+def content_types(parts: DataFrame, own: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(file_name, content_type) of parts(file_name, ext): the own type of the name, whatever its case, else the extension's default, else null.
+
+    own(part in lower case, own_type) and defaults(ext, default_type) have one row a key; null names and extensions match none.
+    """
+    j = parts.join(own.withColumnRenamed("part", "__p"), F.lower("file_name") == F.col("__p"), "left").join(defaults, "ext", "left")
+    return j.select("file_name", F.coalesce("own_type", "default_type").alias("content_type"))
+
+
 def unclaimed(df: DataFrame, claimed: DataFrame) -> DataFrame:
     return df.join(claimed, ["result_id", "page_no", "item_no"], "left_anti")
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import convert_queries, label_queries, layout_queries, line_queries, pdf_queries, text_queries
+from . import convert_queries, flow_queries, label_queries, layout_queries, line_queries, pdf_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [text_queries, layout_queries, label_queries, line_queries, convert_queries, pdf_queries]
+MODULES = [text_queries, layout_queries, label_queries, line_queries, convert_queries, pdf_queries, flow_queries]
 
 
 def queries() -> dict[str, Query]:

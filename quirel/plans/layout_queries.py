@@ -296,10 +296,6 @@ def page_columns(spark: SparkSession, d: str) -> DataFrame:
     return geometry.columns(table(spark, d, "pdf_item"))
 
 
-def borderless_tables(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.tables(table(spark, d, "pdf_item"))
-
-
 def region_text(spark: SparkSession, d: str) -> DataFrame:
     it = _items(spark, d)
     return geometry.region_text(it, layout.assign_regions(it, _regions(it)))
@@ -311,7 +307,6 @@ REGION_TEXT = REGION_ASSIGN.replace("WITH ", "WITH q AS (WITH ", 1) + ") SELECT
 QUERIES = {
     "merged_items": (merged_items, None),
     "page_columns": (page_columns, None),
-    "borderless_tables": (borderless_tables, None),
     "region_text": (region_text, REGION_TEXT),
     "font_mode": (font_mode, FONT_MODE),
     "size_rarity": (size_rarity, SIZE_RARITY),

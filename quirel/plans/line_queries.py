@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirel.functions import text as T
-from quirel.operators import geometry, layout, lines
+from quirel.operators import layout, lines
 from quirel.session import table
 
 from .convert_queries import _csv_files, _pdf_files
@@ -76,11 +76,6 @@ UNDERLINED = f"""WITH {ITEMS}, r AS (SELECT result_id, page_no, CAST(y AS DOUBLE
  SELECT DISTINCT i.result_id, i.page_no, item_no FROM i JOIN r ON i.result_id = r.result_id AND i.page_no = r.page_no WHERE width > 0 AND ry <= CAST(y AS DOUBLE) AND ry >= CAST(y AS DOUBLE) - 0.35 * CAST(font_size AS DOUBLE) AND least(CAST(x AS DOUBLE) + CAST(width AS DOUBLE), x2) - greatest(CAST(x AS DOUBLE), x1) >= 0.6 * CAST(width AS DOUBLE)"""
 
 
-def layout_complexity(spark: SparkSession, d: str) -> DataFrame:
-    it = table(spark, d, "pdf_item")
-    return lines.layout_complexity(geometry.tables(it), geometry.columns(it))
-
-
 def file_signatures(spark: SparkSession, d: str) -> DataFrame:
     f = _pdf_files(spark, d).select("doc_id", "data").unionByName(_csv_files(spark, d).select(F.col("doc_id").cast("long"), "data"))
     s = lines.signature(F.col("data"))
@@ -108,7 +103,6 @@ QUERIES = {
     "overused_levels": (overused_levels, OVERUSED),
     "merged_strokes": (merged_strokes, STROKES),
     "underlined_items": (underlined_items, UNDERLINED),
-    "layout_complexity": (layout_complexity, None),
     "file_signatures": (file_signatures, SIGNATURES),
     "text_markdown": (text_markdown, TEXT_MARKDOWN),
 }
