@@ -254,10 +254,10 @@ def is_newspaper(columns: list[list[float]], widths: list[float], gap: float = 1
 
 
 def line_bands(items: list[Item]) -> list[list[int]]:
-    """Item numbers by line, from the top: items whose heights differ by up to 0.4 of their size."""
+    """Item numbers by line, from the top: items whose heights differ from the first by up to 0.4 of its size."""
     out: list[list[int]] = []
     for k in sorted(range(len(items)), key=lambda k: (-items[k]["y"], items[k]["x"])):
-        if out and abs(items[out[-1][0]]["y"] - items[k]["y"]) <= 0.4 * max(items[k]["font_size"], 4):
+        if out and abs(items[out[-1][0]]["y"] - items[k]["y"]) <= 0.4 * max(items[out[-1][0]]["font_size"], 4):
             out[-1].append(k)
         else:
             out.append([k])
