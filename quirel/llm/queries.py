@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirel.session import table
@@ -80,6 +80,17 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _p4_pieces(spark, d)
 
 
+def p4_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each oversized text put together again, and whether each keeps to the limit and shares its beginning with the one before."""
+    w = Window.partitionBy("tbl", "rec_id", "block_no").orderBy("piece_no")
+    lim = table(spark, d, "split_limit").select("tbl", "max_chars", "overlap_chars")
+    p = _p4_pieces(spark, d).join(F.broadcast(lim), "tbl").withColumn("end", F.col("start_at") + F.char_length("piece"))
+    shared = F.coalesce(F.lag("end").over(w) - F.col("start_at"), F.lit(0))
+    p = p.withColumn("own", F.substring("piece", shared + 1, F.char_length("piece"))).withColumn("ok", (F.char_length("piece") <= F.col("max_chars")) & ((F.col("piece_no") == 1) | (shared == F.col("overlap_chars"))))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda s: s["own"]), "")
+    return p.groupBy("tbl", "rec_id", "block_no").agg(F.md5(whole).alias("md5"), F.min("ok").alias("ok")).distinct()
+
+
 def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return neardup.similar(table(spark, d, "pdf_result"), "result_id", "title", "markdown", size=3, threshold=0.6, min_words=30)
 
@@ -129,7 +140,7 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p8_found, p8_pages, p8_stretches, p7_mixture, p7_shares, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
+    return {f.__name__: f for f in (p8_found, p8_pages, p8_stretches, p7_mixture, p7_shares, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p4_cover, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
 
 
 P1_STATS = rf"""WITH t AS (SELECT result_id, CASE WHEN trim(translate(markdown, chr(10) || chr(9) || chr(13), '   '), ' ') <> '' THEN markdown END AS t FROM pdf_result),
@@ -144,5 +155,15 @@ P5_FOUND = r"""WITH w AS (SELECT result_id, regexp_extract_all(lower(coalesce(ti
  p AS (SELECT a.result_id AS a_id, b.result_id AS b_id, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.result_id < b.result_id GROUP BY ALL) SELECT a_id, b_id FROM p WHERE c / (na + nb - c) >= 0.6"""
 
 
+P4_COVER = """SELECT DISTINCT 'pdf_result' AS tbl, result_id AS rec_id, -1 AS block_no, md5(markdown) AS md5, true AS ok FROM pdf_result WHERE length(markdown) > (SELECT max_chars FROM split_limit WHERE tbl = 'pdf_result')
+ UNION SELECT DISTINCT 'doc_block', file_id, block_no, md5(text), true FROM doc_block WHERE length(text) > (SELECT max_chars FROM split_limit WHERE tbl = 'doc_block')"""
+P5_GROUPS = r"""WITH RECURSIVE w AS (SELECT result_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || markdown), '[\p{L}\p{N}]+') AS w FROM pdf_result WHERE markdown <> ''),
+ s AS (SELECT result_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30), k AS (SELECT result_id, s, md5(array_to_string(list_sort(s), '|')) AS k FROM s),
+ m AS (SELECT result_id, s, min(result_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS class_size FROM k), u AS (SELECT result_id, len(s) AS n, unnest(s) AS g FROM m WHERE result_id = class_id),
+ p AS (SELECT a.result_id AS a, b.result_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.result_id <> b.result_id GROUP BY ALL), e AS (SELECT a, b FROM p WHERE c / (na + nb - c) >= 0.6),
+ r AS (SELECT DISTINCT class_id AS x, class_id AS y FROM m UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), q AS (SELECT x, min(y) AS group_id FROM r GROUP BY x), d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+ SELECT result_id, class_id, class_size, group_id, coalesce(d.n, 0) AS n_links FROM m JOIN q ON class_id = x LEFT JOIN d ON class_id = a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_stats": P1_STATS, "p4_found": P4_FOUND, "p5_found": P5_FOUND}
+    return {"p1_stats": P1_STATS, "p4_found": P4_FOUND, "p4_cover": P4_COVER, "p5_found": P5_FOUND, "p5_groups": P5_GROUPS}
