@@ -1,7 +1,7 @@
 """A PDF reader on the standard library: objects, streams, fonts, positioned text, ruled tables, Markdown.
 
-Broken cross references are of no concern, as objects are always found by scanning. Encrypted files end with the code
-"encrypted"; a page whose content can't be read is empty and has a warning.
+Broken cross references are of no concern, as objects are always found by scanning. Encrypted files are read with their
+password (the empty one by default) or end with the code "encrypted"; a page whose content can't be read is empty and has a warning.
 """
 
 from __future__ import annotations
@@ -162,12 +162,16 @@ def unpredict(data: bytes, parms: dict) -> bytes:
 
 
 class Pdf:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: str = ""):
         at = data[:1024].find(b"%PDF-")
         if at < 0:
             raise ConvertError("malformed", hint(data))
         self.data = data
-        self.at = {int(m[1]): m.end() for m in OBJ.finditer(data)}
+        found = {int(m[1]): (m.end(), int(m[2])) for m in OBJ.finditer(data)}
+        self.at = {n: at for n, (at, _) in found.items()}
+        self.generation = {n: g for n, (_, g) in found.items() if g}
+        self.crypt = None
+        self.open: set[int] = set()
         self.cache: dict[int, object] = {}
         self.trailer: dict = {}
         for m in re.finditer(rb"trailer", data):
@@ -177,9 +181,9 @@ class Pdf:
         for n in list(self.at):
             o = self.get(Ref(n))
             if isinstance(o, Stream) and o.d.get("Type") == "XRef":
-                self.trailer.update({k: v for k, v in o.d.items() if k in ("Root", "Encrypt", "Info")})
+                self.trailer.update({k: v for k, v in o.d.items() if k in ("Root", "Encrypt", "Info", "ID")})
         if "Encrypt" in self.trailer:
-            raise ConvertError("encrypted", "an encrypted PDF")
+            self.unlock(password)
         for n in list(self.at):
             o = self.get(Ref(n))
             if isinstance(o, Stream) and o.d.get("Type") == "ObjStm":
@@ -201,6 +205,35 @@ class Pdf:
         self.page_no: dict[int, int] = {}
         self.walk(root.get("Pages"), {}, 0, set())
 
+    def unlock(self, password: str) -> None:
+        """Read strings and streams decrypted from now on; what was read before is read again."""
+        from .crypt import Crypt
+
+        ref = self.trailer["Encrypt"]
+        d = self.get(ref)
+        ids = self.get(self.trailer.get("ID"))
+        if not isinstance(d, dict):
+            raise ConvertError("encrypted", "a broken encryption dictionary")
+        first = self.get(ids[0]) if isinstance(ids, list) and ids else b""
+        self.crypt = Crypt({k: self.get(v) for k, v in d.items()}, first if isinstance(first, bytes) else b"", password)
+        self.open = {ref.n} if isinstance(ref, Ref) else set()
+        self.cache.clear()
+
+    def plain(self, o, n: int):
+        """An object as read from the file with its strings and its stream decrypted."""
+        gen = self.generation.get(n, 0)
+        if isinstance(o, bytes):
+            return self.crypt.decrypt(o, n, gen, "string")
+        if isinstance(o, list):
+            return [self.plain(x, n) for x in o]
+        if isinstance(o, dict):
+            return {k: self.plain(v, n) for k, v in o.items()}
+        if isinstance(o, Stream):
+            if o.d.get("Type") == "XRef" or o.d.get("Type") == "Metadata" and not self.crypt.metadata:
+                return o
+            return Stream(self.plain(o.d, n), self.crypt.decrypt(o.raw, n, gen, "stream"))
+        return o
+
     def get(self, o):
         passed: set[int] = set()
         while isinstance(o, Ref):
@@ -218,7 +251,7 @@ class Pdf:
                     size = self.get(size) if isinstance(size, Ref) and size.n != n else size
                     end = m.end() + size if isinstance(size, int) and self.data[m.end() + size : m.end() + size + 20].lstrip().startswith(b"endstream") else self.data.find(b"endstream", m.end())
                     v = Stream(v, self.data[m.end() : end if end >= 0 else len(self.data)])
-                self.cache[n] = v
+                self.cache[n] = self.plain(v, n) if self.crypt and n not in self.open else v
             o = self.cache[n]
         return o
 
@@ -794,11 +827,55 @@ def repeated(pages: list[PageData]) -> set[str]:
     return {k for k, c in n.items() if c >= max(3, len(pages) * 3 // 10)}
 
 
-def process(data: bytes) -> dict:
-    """A PDF's class, pages' signals, items and Markdown."""
+def chosen_pages(n: int, strategy: str | tuple[str, int] | tuple[str, list[int]]) -> list[int]:
+    """Numbers of the pages that detection looks at: all ("full", "early"), so many evenly spread ("sample", k), or those named ("pages", [...])."""
+    if isinstance(strategy, tuple):
+        kind, what = strategy
+        if kind == "pages":
+            return sorted({p for p in what if 1 <= p <= n})
+        if kind == "sample" and what < n:
+            return sorted({1 + i * (n - 1) // max(1, what - 1) for i in range(what)}) if what > 1 else [1][:n]
+    return list(range(1, n + 1))
+
+
+def detect(data: bytes, password: str = "", strategy: str | tuple = "full") -> dict:
+    """Class, confidence and signals of a PDF without its text; "early" stops at the first page that counts as text."""
+    pdf = Pdf(data, password)
+    signals, text = [], []
+    for no in chosen_pages(len(pdf.pages), strategy):
+        try:
+            s = read_page(pdf, pdf.pages[no - 1], no).signals()
+        except Exception:  # noqa: BLE001
+            s = PageData(no).signals()
+        signals.append(s)
+        text.append(is_text_page(s))
+        if strategy == "early" and text[-1]:
+            break
+    kind = pdf_class(signals, text)
+    share = sum(text) / max(1, len(text))
+    return {"kind": kind, "confidence": max(share, 0.5) if kind == "TextBased" else 0.95 if kind == "Scanned" else 0.7, "page_count": len(pdf.pages), "signals": signals, "needs_ocr": [s["page_no"] for s, t in zip(signals, text) if not t]}
+
+
+def is_text_page(s: dict) -> bool:
+    return s["text_operator_count"] >= (10 if s["has_images"] else 3) and s["unique_text_chars"] >= 5 and not s["has_vector_text"] and not s["has_only_type3_fonts"]
+
+
+def pdf_class(signals: list[dict], text: list[bool]) -> str:
+    """Class of a document by its pages' signals and which of them count as text."""
+    images = any(s["has_images"] or s["has_vector_text"] for s in signals)
+    ops = any(s["text_operator_count"] for s in signals)
+    if any(text) and any(s["has_template_image"] for s in signals):
+        return "Mixed"
+    if sum(text) >= 0.6 * max(1, len(text)) or not images and ops:
+        return "TextBased"
+    return "Mixed" if any(text) else "Scanned" if not ops else "ImageBased"
+
+
+def process(data: bytes, password: str = "", only: set[int] | None = None) -> dict:
+    """A PDF's class, pages' signals, items and Markdown; with only, of the pages named."""
     from .tagged import repair_names, structure, tagged_tables
 
-    pdf = Pdf(repair_names(data))
+    pdf = Pdf(repair_names(data), password)
     pages, warnings = [], []
     try:
         nodes = structure(pdf)
@@ -807,6 +884,8 @@ def process(data: bytes) -> dict:
         warnings.append(f"structure: {x}")
     tagged = tagged_tables(nodes)
     for no, p in enumerate(pdf.pages, 1):
+        if only is not None and no not in only:
+            continue
         try:
             pages.append(read_page(pdf, p, no))
         except ConvertError:
@@ -815,8 +894,6 @@ def process(data: bytes) -> dict:
             pages.append(PageData(no))
             warnings.append(f"page {no}: {x}")
     sig = [p.signals() for p in pages]
-    text = [s["text_operator_count"] >= (10 if s["has_images"] else 3) and s["unique_text_chars"] >= 5 and not s["has_vector_text"] and not s["has_only_type3_fonts"] for s in sig]
-    images = any(s["has_images"] or s["has_vector_text"] for s in sig)
-    ratio = sum(text) / max(1, len(text))
-    kind = "Mixed" if any(text) and any(s["has_template_image"] for s in sig) else "TextBased" if ratio >= 0.6 or not images and any(p.text_ops for p in pages) else "Mixed" if any(text) else "Scanned" if not any(p.text_ops for p in pages) else "ImageBased"
+    text = [is_text_page(s) for s in sig]
+    kind = pdf_class(sig, text)
     return {"kind": kind, "pages": pages, "signals": sig, "needs_ocr": [s["page_no"] for s, t in zip(sig, text) if not t and (kind != "TextBased" or s["has_identity_h_no_tounicode"])], "markdown": markdown(pages, tagged) if kind in ("TextBased", "Mixed") else "", "warnings": warnings, "pdf": pdf, "nodes": nodes, "tagged": tagged}
