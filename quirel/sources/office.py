@@ -7,6 +7,7 @@ import posixpath
 import re
 import xml.etree.ElementTree as ET
 
+from .drawings import graphic_blocks
 from .model import Block, Cell, ConvertError, Document, GridBuilder, Run, cell, fold_list, number_label, para, plain
 from .package import Package, all_of, attr, kid, kids, local
 
@@ -192,6 +193,9 @@ class Word:
             for box in text_boxes(e):
                 flush()
                 out.extend(self.blocks(box))
+            if any(local(x.tag) == "drawing" for x in e.iter()) and (drawn := graphic_blocks(e, self.rels, self.pkg)):
+                flush()
+                out.extend(drawn)
         flush()
         return out
 
@@ -442,7 +446,8 @@ def xlsx(data: bytes) -> Document:
     sheets = kids(kid(book, "sheets"), "sheet")
     good = 0
     for s in sheets:
-        root = pkg.optional(rels.get(attr(s, "id") or "", ("", None, False))[1])
+        path = rels.get(attr(s, "id") or "", ("", None, False))[1]
+        root = pkg.optional(path)
         if root is None:
             doc.warnings.append(f"sheet {attr(s, 'name')} can't be read")
             continue
@@ -494,6 +499,10 @@ def xlsx(data: bytes) -> Document:
         if len(sheets) > 1:
             doc.blocks.append(Block("heading", runs=[Run(attr(s, "name") or "")], level=2))
         doc.blocks.append(Block("table", grid=grid, header_rows=header_rows(grid)))
+        for kind, target, outside in pkg.rels(path).values():
+            drawing = pkg.optional(target) if kind == "drawing" and not outside else None
+            if drawing is not None:
+                doc.blocks += graphic_blocks(drawing, pkg.rels(target), pkg)
     if sheets and not good:
         raise ConvertError("malformed", "no sheet can be read")
     return doc
@@ -520,7 +529,7 @@ def pptx(data: bytes) -> Document:
         srels = pkg.rels(path)
         anchor = posixpath.basename(path)
         start = len(doc.blocks)
-        shapes(kid(root, "cSld", "spTree"), srels, doc.blocks)
+        shapes(kid(root, "cSld", "spTree"), srels, doc.blocks, pkg)
         if len(doc.blocks) > start:
             doc.blocks[start].anchors.append(anchor)
         notes = next((t for k, t, o in srels.values() if k == "notesSlide"), None)
@@ -536,11 +545,11 @@ def pptx(data: bytes) -> Document:
     return doc
 
 
-def shapes(parent: ET.Element | None, rels: dict, out: list[Block]) -> None:
+def shapes(parent: ET.Element | None, rels: dict, out: list[Block], pkg: Package) -> None:
     for e in parent if parent is not None else ():
         t = local(e.tag)
         if t == "grpSp":
-            shapes(e, rels, out)
+            shapes(e, rels, out, pkg)
         elif t == "sp":
             ph = kid(e, "nvSpPr", "nvPr", "ph")
             kind = attr(ph, "type") or "body" if ph is not None else ""
@@ -555,6 +564,7 @@ def shapes(parent: ET.Element | None, rels: dict, out: list[Block]) -> None:
         elif t == "graphicFrame":
             for tbl in all_of(e, "tbl")[:1]:
                 out.append(slide_table(tbl, rels))
+            out += graphic_blocks(e, rels, pkg)
         elif t == "pic":
             d = kid(e, "nvPicPr", "cNvPr")
             if d is not None and attr(d, "descr"):
