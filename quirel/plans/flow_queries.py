@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirel.functions import checks as K
 from quirel.functions import text as T
 from quirel.operators import flow, geometry, layout, lines, tidy
-from quirel.session import table
+from quirel.session import spread, table
 
 from .label_queries import BASE, LETTER_STATS, _cells
 from .pdf_queries import DRAWN_TABLES, _order_pages
@@ -108,7 +108,7 @@ CELL_CHECKS = rf"""WITH {BASE}, x AS (SELECT s FROM t UNION SELECT * FROM (VALUE
 
 def encoding_issues(spark: SparkSession, d: str) -> DataFrame:
     """Texts with lost characters, dollars for spaces, or letters that are shifted or substituted."""
-    r = table(spark, d, "pdf_result").where("markdown IS NOT NULL")
+    r = spread(table(spark, d, "pdf_result").where("markdown IS NOT NULL").select("result_id", "markdown"))
     m = F.col("markdown")
     g = tidy.letter_stats(r, "result_id", "markdown").select("result_id", "garbled")
     return r.select("result_id", (F.contains(m, F.lit("�")) | T.dollar_as_space(m)).alias("a")).join(g, "result_id").select("result_id", (F.col("a") | F.col("garbled")).alias("issue"))

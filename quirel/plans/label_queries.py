@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirel.functions import labels as L
 from quirel.functions import text as T
 from quirel.operators import tidy
-from quirel.session import table
+from quirel.session import spread, table
 
 from .text_queries import W, sql_trim
 
@@ -72,7 +72,7 @@ ROLES = f"SELECT struct_role, count(*) AS n, CASE WHEN struct_role IN ({', '.joi
 
 
 def letter_stats(spark: SparkSession, d: str) -> DataFrame:
-    return tidy.letter_stats(table(spark, d, "documents"), "doc_id", "text")
+    return tidy.letter_stats(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 _OBS = "[" + ", ".join(f"CAST(length(regexp_replace(lower(text), '[^{ch}]', '', 'g')) AS DOUBLE)" for ch in "abcdefghijklmnopqrstuvwxyz") + "]"
@@ -86,7 +86,7 @@ PAGED = [(-1, "text\n\n12\n\nmore"), (-2, "text\n12\nmore"), (-3, "a\nPage 3\n--
 
 
 def page_numbers_dropped(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "pdf_result").select("result_id", "markdown").unionByName(spark.createDataFrame(PAGED, "result_id long, markdown string"))
+    x = spread(table(spark, d, "pdf_result").select("result_id", "markdown")).unionByName(spark.createDataFrame(PAGED, "result_id long, markdown string"))
     return tidy.drop_page_numbers(x, "result_id", "markdown")
 
 

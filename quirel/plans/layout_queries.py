@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirel.functions import text as T
 from quirel.operators import blocks, geometry, grids, layout
-from quirel.session import table
+from quirel.session import spread, table
 
 from .text_queries import W, _value_kind_sql, sql_trim
 
@@ -186,7 +186,7 @@ FOLIOS = rf"WITH {ITEMS}, x AS (SELECT result_id, page_no, item_no, CAST(trim(te
 
 
 def header_vote(spark: SparkSession, d: str) -> DataFrame:
-    return grids.header_rows(grids.pipe_cells(table(spark, d, "pdf_result"), "result_id", "markdown"))
+    return grids.header_rows(grids.pipe_cells(spread(table(spark, d, "pdf_result").select("result_id", "markdown")), "result_id", "markdown"))
 
 
 CELLS = r"""ln AS (SELECT DISTINCT result_id AS doc, unnest(range(len(string_split(markdown, chr(10))))) AS pos, unnest(string_split(markdown, chr(10))) AS line FROM pdf_result WHERE regexp_matches(markdown, '(?m)^\|.*\|')),
@@ -204,7 +204,7 @@ HEADER_VOTE = f"""WITH {CELLS}, {KINDS}, lb AS (SELECT grid, col_no, text AS lab
 
 
 def column_kinds(spark: SparkSession, d: str) -> DataFrame:
-    c = grids.pipe_cells(table(spark, d, "pdf_result"), "result_id", "markdown")
+    c = grids.pipe_cells(spread(table(spark, d, "pdf_result").select("result_id", "markdown")), "result_id", "markdown")
     return grids.column_kinds(c.where("row_no > 0 AND row_no <= 50"))
 
 
@@ -212,7 +212,7 @@ COLUMN_KINDS = f"WITH {CELLS}, {KINDS} SELECT grid, CAST(col_no AS INT) AS col_n
 
 
 def grid_checks(spark: SparkSession, d: str) -> DataFrame:
-    return grids.grid_checks(grids.pipe_cells(table(spark, d, "pdf_result"), "result_id", "markdown"))
+    return grids.grid_checks(grids.pipe_cells(spread(table(spark, d, "pdf_result").select("result_id", "markdown")), "result_id", "markdown"))
 
 
 GRID_CHECKS = rf"""WITH {CELLS}, r AS (SELECT grid, row_no, count_if(text <> '') AS filled, max(CASE WHEN col_no = 0 THEN text END) AS first, max(col_no) AS m FROM cl GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirel.functions import text as T
-from quirel.session import table
+from quirel.session import spread, table
 
 W = T.WS
 
@@ -79,7 +79,7 @@ SELECT url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS sch
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "pdf_result")
+    r = spread(table(spark, d, "pdf_result").select("result_id", "markdown"))
     c = F.col("markdown")
     return r.select("result_id", T.clean_text(c).alias("cleaned"), T.collapse_ws(c).alias("collapsed"), T.strip_tags(c).alias("stripped"))
 
@@ -98,7 +98,7 @@ def _rows_sql(rows: dict[int, str]) -> str:
 
 def _quality_base(spark: SparkSession, d: str) -> DataFrame:
     extra = spark.createDataFrame(list(GARBAGE_EXTRA.items()), "result_id long, markdown string")
-    return table(spark, d, "pdf_result").select("result_id", "markdown").unionByName(extra)
+    return spread(table(spark, d, "pdf_result").select("result_id", "markdown")).unionByName(extra)
 
 
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +139,7 @@ TEXT_QUALITY = rf"""WITH b AS (SELECT result_id, markdown FROM pdf_result UNION
 
 def line_kind(spark: SparkSession, d: str) -> DataFrame:
     """Each line of each page and what kind of line it is."""
-    x = table(spark, d, "documents").where("text <> ''").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    x = spread(table(spark, d, "documents").where("text <> ''").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     c = F.col("line")
     return x.select("doc_id", "line_no", T.is_caption(c).alias("caption"), T.is_list_item(c).alias("list_item"), T.is_code_like(c).alias("code"), T.is_structural(c).alias("structural"), T.is_footnote(c).alias("footnote"), T.is_page_number(c).alias("page_number"), T.has_dot_leaders(c).alias("leaders"), T.is_toc_entry(c).alias("toc_entry"), T.value_kind(c).alias("value_kind"))
 
@@ -193,7 +193,7 @@ CLOCKS = """WITH e AS (SELECT event_id, value / 24 AS v FROM events), s AS (SELE
 
 
 def md_clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pdf_result").select("result_id", T.clean_markdown(F.col("markdown"), True).alias("cleaned"), T.count_table_columns(F.col("markdown")).alias("table_columns"))
+    return spread(table(spark, d, "pdf_result").select("result_id", "markdown")).select("result_id", T.clean_markdown(F.col("markdown"), True).alias("cleaned"), T.count_table_columns(F.col("markdown")).alias("table_columns"))
 
 
 _H = T.HYPHEN_LETTERS
