@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirel.session import spread
+
 #: A pair whose contribution to the mutual information is below this is improbable.
 IMPROBABLE = 2e-5
 #: Gain in log2 pair probability, a pair, that a one-byte mapping must bring.
@@ -225,7 +227,7 @@ def count_pairs(df: DataFrame, text: str) -> DataFrame:
         if rest:
             yield pd.DataFrame({"pair": np.fromiter(rest, np.int64), "n": np.fromiter(rest.values(), np.int64)})
 
-    parts = df.select(F.col(text).alias("__t")).where("__t <> ''").mapInPandas(run, "pair long, n long")
+    parts = spread(df.select(F.col(text).alias("__t")).where("__t <> ''")).mapInPandas(run, "pair long, n long")
     return parts.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -392,7 +394,7 @@ def repair(df: DataFrame, keys: list[str], text: str, pairs: tuple[np.ndarray, n
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(pairs)
     names = [f"__k{i}" for i in range(len(keys))]
-    recs = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(text).alias("__t")).where(F.col("__t").rlike(r"[^\x00-\x7F]"))
+    recs = spread(df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(text).alias("__t")).where(F.col("__t").rlike(r"[^\x00-\x7F]")))
     schema = ", ".join(f"{a} {recs.schema[a].dataType.simpleString()}" for a in names) + ", codec string, places int, lost boolean, repaired string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirel.session import spread
+
 from .reading import page_lines, running_words
 
 #: Labelled pages a language that the models are fitted on, and rounds of fitting.
@@ -308,7 +310,7 @@ def stretches(docs: DataFrame, model: Model | None, key: str = "doc_id", text: s
     if model is None:
         return docs.sparkSession.createDataFrame([], schema)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.prob))
-    recs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''")
+    recs = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)

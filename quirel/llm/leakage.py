@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirel.session import cut
+from quirel.session import cut, spread
 
 from .reading import streams
 
@@ -282,7 +282,7 @@ def page_terms(t: str | None, x, y, w, least: int) -> Iterator[tuple[int, int, l
 def term_table(docs: DataFrame, key: str, text: str, boxes: str, least: int) -> DataFrame:
     """(id, stream, first, terms array<int>, joined array<struct<key, at, sig>>): each page's terms by place, in the shared folder."""
     kind = docs.schema[key].dataType.simpleString()
-    recs = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''")
+    recs = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("t"), *[F.col(f"{boxes}.{c}").alias(c) for c in "xyw"]).where("t <> ''"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirel.session import cut
+from quirel.session import cut, spread
 
 #: Bits of the hash summed a level, and levels; 2 ** (BITS * LEVELS) buckets tell documents apart at last.
 BITS, LEVELS = 10, 6
@@ -35,7 +35,7 @@ def hash_of(key: str) -> F.Column:
 
 def count_tokens(docs: DataFrame, key: str, text: str, source: str, path: str) -> DataFrame:
     """(id, source, h, n): tokens of each document by the byte-level BPE of path (ranks file)."""
-    recs = docs.where(F.col(source).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(source).alias("source"), hash_of(key).alias("h"), F.col(text).alias("t"))
+    recs = spread(docs.where(F.col(source).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(source).alias("source"), hash_of(key).alias("h"), F.col(text).alias("t")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirel.session import cut, discard
+from quirel.session import cut, discard, spread
 
 #: Trees, labels of a tree's longest prefix, bits of a label (all labels of a tree make one number of 63 bits).
 TREES, DEEPEST, BITS = 56, 7, 9
@@ -82,7 +82,7 @@ def shingles(words: list[str], size: int, memo: dict[str, int]) -> np.ndarray:
 
 
 def _records(df: DataFrame, key: str, title: str | None, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("id"), (F.coalesce(F.col(title), F.lit("")) if title else F.lit("")).alias("h"), F.col(text).alias("t")).where("t <> ''")
+    return spread(df.select(F.col(key).alias("id"), (F.coalesce(F.col(title), F.lit("")) if title else F.lit("")).alias("h"), F.col(text).alias("t")).where("t <> ''"))
 
 
 def _sets(recs: DataFrame, size: int, min_words: int, labels: bool) -> DataFrame:
