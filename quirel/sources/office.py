@@ -529,7 +529,7 @@ def pptx(data: bytes) -> Document:
         srels = pkg.rels(path)
         anchor = posixpath.basename(path)
         start = len(doc.blocks)
-        shapes(kid(root, "cSld", "spTree"), srels, doc.blocks, pkg)
+        shapes(kid(root, "cSld", "spTree"), srels, doc.blocks, pkg, Masters(pkg, srels))
         if len(doc.blocks) > start:
             doc.blocks[start].anchors.append(anchor)
         notes = next((t for k, t, o in srels.values() if k == "notesSlide"), None)
@@ -545,11 +545,52 @@ def pptx(data: bytes) -> Document:
     return doc
 
 
-def shapes(parent: ET.Element | None, rels: dict, out: list[Block], pkg: Package) -> None:
+class Masters:
+    """A slide's layout and its master: what a placeholder takes over from them, by its number first, then by its kind."""
+
+    def __init__(self, pkg: Package, rels: dict):
+        self.levels: list[ET.Element] = []
+        self.styles: ET.Element | None = None
+        for kind in ("slideLayout", "slideMaster"):
+            path = next((t for k, t, o in rels.values() if k == kind and not o), None)
+            root = pkg.optional(path)
+            if root is None:
+                break
+            self.levels.append(root)
+            self.styles = kid(root, "txStyles")
+            rels = pkg.rels(path)
+
+    def above(self, ph: ET.Element) -> list[ET.Element]:
+        """The placeholders it goes back to, the nearest first."""
+        out = []
+        for root in self.levels:
+            found = [(sp, x) for sp in all_of(root, "sp") if (x := kid(sp, "nvSpPr", "nvPr", "ph")) is not None]
+            same = next((sp for sp, x in found if attr(ph, "idx") is not None and attr(x, "idx") == attr(ph, "idx")), None)
+            same = same if same is not None else next((sp for sp, x in found if (attr(x, "type") or "body") == (attr(ph, "type") or "body")), None)
+            if same is not None:
+                out.append(same)
+                ph = kid(same, "nvSpPr", "nvPr", "ph")
+        return out
+
+    def bulleted(self, sp: ET.Element, ph: ET.Element | None, level: int) -> bool | None:
+        """Whether paragraphs of a level have a bullet by the shape's list style, those it goes back to, or the master's text style."""
+        name = f"lvl{level + 1}pPr"
+        chain = [kid(x, "txBody", "lstStyle", name) for x in [sp, *(self.above(ph) if ph is not None else [])]]
+        if ph is not None:
+            chain.append(kid(self.styles, "bodyStyle", name))
+        for p in chain:
+            if kid(p, "buNone") is not None:
+                return False
+            if kid(p, "buChar") is not None or kid(p, "buAutoNum") is not None:
+                return True
+        return None
+
+
+def shapes(parent: ET.Element | None, rels: dict, out: list[Block], pkg: Package, masters: Masters) -> None:
     for e in parent if parent is not None else ():
         t = local(e.tag)
         if t == "grpSp":
-            shapes(e, rels, out, pkg)
+            shapes(e, rels, out, pkg, masters)
         elif t == "sp":
             ph = kid(e, "nvSpPr", "nvPr", "ph")
             kind = attr(ph, "type") or "body" if ph is not None else ""
@@ -560,7 +601,9 @@ def shapes(parent: ET.Element | None, rels: dict, out: list[Block], pkg: Package
                 if plain(runs).strip():
                     out.append(Block("heading", runs=runs, level=2))
             else:
-                body_text(kid(e, "txBody"), rels, ph is not None and kind in ("body", "obj"), out)
+                usual = ph is not None and kind in ("body", "obj")
+                told = {lv: masters.bulleted(e, ph if usual else None, lv) for lv in range(9)}
+                body_text(kid(e, "txBody"), rels, usual, out, told)
         elif t == "graphicFrame":
             for tbl in all_of(e, "tbl")[:1]:
                 out.append(slide_table(tbl, rels))
@@ -587,7 +630,8 @@ def text_runs(p: ET.Element, rels: dict) -> list[Run]:
     return out
 
 
-def body_text(tx: ET.Element | None, rels: dict, bullets: bool, out: list[Block]) -> None:
+def body_text(tx: ET.Element | None, rels: dict, bullets: bool, out: list[Block], told: dict[int, bool | None] | None = None) -> None:
+    """Paragraphs as lists and text; bullets says what holds where neither the paragraph nor what it goes back to (told, by level) does."""
     entries: list[tuple[int, str, int, list[Block], str | None]] = []
     count: dict[int, int] = {}
 
@@ -607,7 +651,7 @@ def body_text(tx: ET.Element | None, rels: dict, bullets: bool, out: list[Block]
             kind = next((v for k, v in (("alphaLc", "alpha"), ("alphaUc", "Alpha"), ("romanLc", "roman"), ("romanUc", "Roman")) if (attr(auto, "type") or "").startswith(k)), "decimal")
             count[level] = count[level] + 1 if level in count else int(attr(auto, "startAt") or 1)
             entries.append((level, kind, count[level], [Block("paragraph", runs=runs)], None))
-        elif kid(pr, "buNone") is None and (bullets or kid(pr, "buChar") is not None):
+        elif kid(pr, "buNone") is None and (kid(pr, "buChar") is not None or (bullets if (by_level := (told or {}).get(level)) is None else by_level)):
             entries.append((level, "", 1, [Block("paragraph", runs=runs)], None))
         else:
             flush()

@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
+from . import fonts
 from .model import ConvertError
 
 OBJ = re.compile(rb"(?<![\d.])(\d{1,10})\s+(\d{1,5})\s+obj\b")
@@ -360,10 +361,17 @@ class Font:
         tu = g(d.get("ToUnicode"))
         self.has_map = isinstance(tu, Stream)
         self.identity = enc in ("Identity-H", "Identity-V") and not self.has_map
+        self.codec = fonts.predefined_codec(str(enc)) if self.two and isinstance(enc, str) and not self.has_map else None
         if self.two:
             kids = g(d.get("DescendantFonts")) or [{}]
             cid = g(kids[0]) or {}
             self.default = float(g(cid.get("DW")) or 1000)
+            if self.identity:
+                # Codes are glyph numbers: the embedded font says what they show.
+                file = g((g(cid.get("FontDescriptor")) or {}).get("FontFile2"))
+                if isinstance(file, Stream) and g(cid.get("CIDToGIDMap")) in (None, "Identity"):
+                    self.map = fonts.glyph_unicode(pdf.bytes(file))
+                    self.identity = not self.map
             w, i = [g(x) for x in g(cid.get("W")) or []], 0
             while i < len(w):
                 if i + 1 < len(w) and isinstance(w[i + 1], list):
@@ -380,6 +388,8 @@ class Font:
             first = int(g(d.get("FirstChar")) or 0)
             for k, v in enumerate(g(d.get("Widths")) or []):
                 self.widths[first + k] = float(g(v) or 0)
+            if not self.widths:
+                self.widths = fonts.standard_widths(self.name)
             base = enc if isinstance(enc, str) else g(enc.get("BaseEncoding")) if isinstance(enc, dict) else None
             codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
             for c in range(32, 256):
@@ -402,6 +412,8 @@ class Font:
 
     def decode(self, s: bytes) -> list[tuple[str, float, int]]:
         """(text, width in thousandths, code) of each code."""
+        if self.codec:
+            return [(ch, self.default if ord(ch[0]) > 0xFF else self.default / 2, c) for ch, c in fonts.decode_codes(s, self.codec)]
         codes = [int.from_bytes(s[i : i + 2], "big") for i in range(0, len(s) - 1, 2)] if self.two else list(s)
         return [(self.map.get(c, "\ufffd" if self.two else ""), self.widths.get(c, self.default), c) for c in codes]
 
@@ -478,7 +490,7 @@ def read_page(pdf: Pdf, page: dict, no: int) -> PageData:
 
 def run_content(pdf: Pdf, data: bytes, res: dict, ctm, out: PageData, depth: int) -> None:
     g = pdf.get
-    fonts: dict[str, Font] = {}
+    loaded: dict[str, Font] = {}
     xobjects = g(res.get("XObject")) or {}
     r = Reader(data, 0, False)
     st = {"ctm": ctm, "font": None, "size": 0.0, "lead": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "rise": 0.0}
@@ -544,16 +556,16 @@ def run_content(pdf: Pdf, data: bytes, res: dict, ctm, out: PageData, depth: int
             tm = lm = (1, 0, 0, 1, 0, 0)
         elif o == "Tf" and len(args) >= 2:
             key = str(args[-2])
-            if key not in fonts:
+            if key not in loaded:
                 d = g((g(res.get("Font")) or {}).get(key))
-                fonts[key] = Font(pdf, d) if isinstance(d, dict) else None
-            if fonts[key] is not None:
-                if st["font"] is not None and st["font"] is not fonts[key]:
+                loaded[key] = Font(pdf, d) if isinstance(d, dict) else None
+            if loaded[key] is not None:
+                if st["font"] is not None and st["font"] is not loaded[key]:
                     out.font_changes += 1
-                st["font"] = fonts[key]
-                out.identity |= fonts[key].identity
-                out.type3 |= fonts[key].kind == "Type3"
-                out.others |= fonts[key].kind != "Type3" and not fonts[key].identity
+                st["font"] = loaded[key]
+                out.identity |= loaded[key].identity
+                out.type3 |= loaded[key].kind == "Type3"
+                out.others |= loaded[key].kind != "Type3" and not loaded[key].identity
             st["size"] = num(-1)
         elif o in ("Td", "TD"):
             if o == "TD":
