@@ -1,7 +1,7 @@
 """Legacy compound files on the standard library: the container, spreadsheets (BIFF8), texts and presentations.
 
 Text and structure are read, styles only where they are simple: the spreadsheet's cells and merges, the text document's
-paragraphs, tables and links by its special characters, the presentation's slides with titles and bodies.
+paragraphs, tables and links by its special characters, its headings, lists and emphasis by its formatting pages, the presentation's slides with titles and bodies.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 import struct
 
-from .model import Block, Cell, ConvertError, Document, GridBuilder, Run, cell
+from .drawings import without_base
+from .model import Block, Cell, ConvertError, Document, GridBuilder, Run, cell, fold_list
 from .office import float_text, header_rows, hyperlink, serial_text
+from .wordbin import Formats
 
 MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 STREAM_MAX = 128 << 20
@@ -288,6 +290,7 @@ def doc(data: bytes) -> Document:
     if table is None:
         raise ConvertError("missingPart", "table stream")
     clx, pos, text = table[fc : fc + lcb], 0, []
+    pieces: list[tuple[int, int, int, int]] = []
     while pos < len(clx):
         if clx[pos] == 1:
             pos += 3 + struct.unpack_from("<H", clx, pos + 1)[0]
@@ -301,33 +304,59 @@ def doc(data: bytes) -> Document:
                 chars = cps[k + 1] - cps[k]
                 if at & 0x40000000:
                     start = (at & 0x3FFFFFFF) // 2
+                    pieces.append((cps[k], cps[k + 1], start, 1))
                     text.append(word[start : start + chars].decode("cp1252", "replace"))
                 else:
+                    pieces.append((cps[k], cps[k + 1], at, 2))
                     text.append(word[at : at + 2 * chars].decode("utf-16-le", "replace"))
             break
         else:
             break
-    return from_marks("".join(text)[:ccp] if ccp else "".join(text))
+    whole = "".join(text)
+    # A character outside the basic plane takes two places; positions only hold without any.
+    formats = Formats(word, table, pieces) if len(word) >= 0x2F2 and pieces and len(whole) == pieces[-1][1] else None
+    return from_marks(whole[:ccp] if ccp else whole, formats)
 
 
-def from_marks(text: str) -> Document:
-    """Blocks of a text with the old format's special characters: paragraph, cell, break and field marks."""
+def from_marks(text: str, formats: Formats | None = None) -> Document:
+    """Blocks of a text with the old format's special characters: paragraph, cell, break and field marks; with formats also emphasis, headings and lists."""
     out = Document()
+    entries: list = []
+    counts: dict[tuple[int, int], int] = {}
     grid: GridBuilder | None = None
     row: list[Cell] = []
     inner: list[Block] = []
 
-    def runs(s: str) -> list[Run]:
+    def styled(s: str, at: int, href: str | None = None) -> list[Run]:
+        """Text from a place on as runs of one emphasis each, with line breaks."""
         got: list[Run] = []
-        for k, part in enumerate(re.split("\x13([^\x13\x14\x15]*)(?:\x14([^\x13\x15]*))?\x15", s)):
-            if k % 3 == 0:
-                got += [r for i, x in enumerate(part.split("\x0b")) for r in ([Run(kind="break")] if i else []) + [Run(re.sub("[\x00-\x08\x0e-\x1f]", "", x).replace("\x1e", "-"))]]
-            elif k % 3 == 1:
-                link = hyperlink(part)
-            elif part:
-                got.append(Run(part, href=link))
+        for k, c in enumerate(s):
+            if c == "\x0b":
+                got.append(Run(kind="break"))
+                continue
+            c = "-" if c == "\x1e" else "" if c < "\t" or "\x0e" <= c <= "\x1f" else c
+            look = formats.emphasis(at + k) if formats else (False, False, False)
+            if got and got[-1].kind == "text" and (got[-1].bold, got[-1].italic, got[-1].strike) == look:
+                got[-1].text += c
+            else:
+                got.append(Run(c, *look, href=href))
+        return got
+
+    def runs(s: str, at: int) -> list[Run]:
+        got: list[Run] = []
+        end = 0
+        for m in re.finditer("\x13([^\x13\x14\x15]*)(?:\x14([^\x13\x15]*))?\x15", s):
+            got += styled(s[end : m.start()], at + end)
+            if m[2]:
+                got += styled(m[2], at + m.start(2), hyperlink(m[1]))
+            end = m.end()
+        got += styled(s[end:], at + end)
         return [r for r in got if r.text or r.kind == "break"]
 
+    def flush() -> None:
+        out.blocks.extend(fold_list(entries))
+        entries.clear()
+
     def close() -> None:
         nonlocal grid
         if grid is not None:
@@ -338,10 +367,12 @@ def from_marks(text: str) -> Document:
 
     for m in re.finditer("([^\r\x07\x0c]*)([\r\x07\x0c]|$)", text):
         s, end = m[1], m[2]
-        rs = runs(s)
+        rs = runs(s, m.start(1))
         if end == "\x07":
             if not s and not inner and row:
-                grid = grid or GridBuilder()
+                if grid is None:
+                    flush()
+                    grid = GridBuilder()
                 grid.add_row(row)
                 row = []
             else:
@@ -354,7 +385,21 @@ def from_marks(text: str) -> Document:
             continue
         if rs:
             close()
-            out.blocks.append(Block("paragraph", runs=rs))
+            item = formats.entry(m.end(1)) if formats else None
+            level = formats.heading(m.end(1)) if formats else None
+            if level:
+                flush()
+                out.blocks.append(Block("heading", runs=without_base(rs, {"bold": all(r.bold for r in rs), "italic": all(r.italic for r in rs)}), level=level))
+            elif item:
+                depth, kind, start, n = item
+                for key in [k for k in counts if k[0] == n and k[1] > depth]:
+                    del counts[key]
+                counts[n, depth] = counts[n, depth] + 1 if (n, depth) in counts else start or 1
+                entries.append((depth, kind, counts[n, depth] if kind else 1, [Block("paragraph", runs=rs)], None))
+            else:
+                flush()
+                out.blocks.append(Block("paragraph", runs=rs))
+    flush()
     close()
     return out
 
