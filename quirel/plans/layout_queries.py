@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirel.functions import text as T
@@ -167,13 +167,16 @@ SAMPLE_PAGES = "SELECT DISTINCT result_id, CAST(CASE WHEN page_count <= 8 THEN i
 
 
 def continued_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of tables over pages, from numbered items: pages of a result with one width class."""
-    it = _items(spark, d).groupBy("result_id", "page_no").agg(F.lit(1).alias("n_tables"), (F.count(F.lit(1)) % 3).alias("n_cols"))
-    return layout.continued_tables(it)
+    """Runs of tables over pages: a customer's orders are the pages, their numbers of lines the columns."""
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_cols"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pages = table(spark, d, "orders").select("o_custkey", "o_orderkey").join(n, "o_orderkey").withColumn("page_no", F.row_number().over(w))
+    return layout.continued_tables(pages.select(F.col("o_custkey").alias("result_id"), "page_no", F.lit(1).alias("n_tables"), "n_cols"))
 
 
-CONTINUED = f"""WITH {ITEMS}, p AS (SELECT result_id, page_no, count(*) % 3 AS n_cols FROM i GROUP BY ALL), r AS (SELECT *, CASE WHEN lag(page_no) OVER w = page_no - 1 AND lag(n_cols) OVER w = n_cols THEN 0 ELSE 1 END AS s FROM p WINDOW w AS (PARTITION BY result_id ORDER BY page_no)), q AS (SELECT *, sum(s) OVER (PARTITION BY result_id ORDER BY page_no) AS run_no FROM r)
- SELECT result_id, CAST(run_no AS BIGINT) AS run_no, min(page_no) AS first_page, max(page_no) AS last_page, first(n_cols) AS n_cols FROM q GROUP BY result_id, run_no"""
+CONTINUED = """WITH p AS (SELECT o_custkey AS result_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no, n_cols FROM orders JOIN (SELECT l_orderkey, count(*) AS n_cols FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey),
+ r AS (SELECT *, CASE WHEN lag(n_cols) OVER w = n_cols THEN 0 ELSE 1 END AS s FROM p WINDOW w AS (PARTITION BY result_id ORDER BY page_no)), q AS (SELECT *, sum(s) OVER (PARTITION BY result_id ORDER BY page_no) AS run_no FROM r)
+ SELECT result_id, CAST(run_no AS BIGINT) AS run_no, CAST(min(page_no) AS INT) AS first_page, CAST(max(page_no) AS INT) AS last_page, first(n_cols) AS n_cols FROM q GROUP BY result_id, run_no"""
 
 
 def adjacent_folios(spark: SparkSession, d: str) -> DataFrame:
