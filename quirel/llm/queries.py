@@ -14,9 +14,10 @@ from . import garbled, language, leakage, mixing, neardup, quality, splitting, u
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _garbled_results(spark: SparkSession, d: str) -> DataFrame:
+def _garbled_results(spark: SparkSession, d: str, among: DataFrame | None = None) -> DataFrame:
+    """Repairs of all results, or of some of them (result_id, markdown); pairs are counted over all either way."""
     res = table(spark, d, "pdf_result").select("result_id", "markdown")
-    return garbled.repair(res, ["result_id"], "markdown", garbled.pair_scores(res, "markdown"))
+    return garbled.repair(res if among is None else among, ["result_id"], "markdown", garbled.pair_scores(res, "markdown"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,8 +39,9 @@ def p2_entries(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     res = table(spark, d, "pdf_result").select("result_id", "markdown")
-    bad = _garbled_results(spark, d).select("result_id").distinct()
-    ok = res.where(unicode_form.is_dirty(F.col("markdown"))).join(bad, "result_id", "left_anti")
+    dirty = res.where(unicode_form.is_dirty(F.col("markdown")))
+    bad = _garbled_results(spark, d, dirty).select("result_id").distinct()
+    ok = dirty.join(bad, "result_id", "left_anti")
     texts = ok.select(F.lit("pdf_result").alias("tbl"), F.col("result_id").alias("rec_id"), F.col("markdown").alias("t"))
     elems = table(spark, d, "struct_element").select(F.lit("struct_element").alias("tbl"), F.col("elem_id").alias("rec_id"), F.col("actual_text").alias("t"))
     return unicode_form.form_cases(texts.unionByName(elems), ["tbl", "rec_id"], "t")
