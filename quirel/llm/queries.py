@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirel.session import table
+from quirel.session import cut, table
 
 from . import garbled, language, leakage, mixing, neardup, quality, splitting, unicode_form
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Most ids that are broadcast to fetch their texts; beyond it they are joined by shuffling.
+NARROW = 1_000_000
 
 
 def _garbled_results(spark: SparkSession, d: str, among: DataFrame | None = None) -> DataFrame:
@@ -55,8 +57,11 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     res = table(spark, d, "pdf_result").select("result_id", "markdown")
-    kinds = quality.text_kinds(res, "result_id", "markdown").where("kind <> 'prose'")
-    bad = _garbled_results(spark, d).select(F.col("result_id").alias("id"))
+    kinds = cut(quality.text_kinds(res, "result_id", "markdown").where("kind <> 'prose'"), "p1-kinds")
+    # Only what isn't prose by its statistics can be a case, so only that is looked at for wrong charsets.
+    ids = kinds.select(F.col("id").alias("result_id")).distinct()
+    some = res.join(F.broadcast(ids) if ids.count() <= NARROW else ids, "result_id", "left_semi")
+    bad = _garbled_results(spark, d, some).select(F.col("result_id").alias("id"))
     return kinds.join(bad, "id", "left_anti").select(F.col("id").alias("result_id"), "kind").distinct()
 
 
