@@ -12,6 +12,7 @@ import struct
 from .drawings import without_base
 from .model import Block, Cell, ConvertError, Document, GridBuilder, Run, cell, fold_list
 from .office import float_text, header_rows, hyperlink, serial_text
+from .pptstyle import StyleRuns, parse_style_text
 from .wordbin import Formats
 
 MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
@@ -416,20 +417,43 @@ def ppt(data: bytes) -> Document:
     out = Document()
     kind = 4
 
-    def emit(t: str, k: int) -> None:
-        lines = [x for x in re.split("[\r\x0b]", t.replace("\x00", "")) if x.strip() and x.strip() != "*"]
+    waiting: list[tuple[str, int]] = []
+
+    def emit(styles: StyleRuns) -> None:
+        """The text that waits for its style runs, as blocks."""
+        if not waiting:
+            return
+        t, k = waiting.pop()
+        look = styles.emphasis(len(t))
+        lines: list[tuple[str, list[Run], int, bool | None]] = []
+        for m in re.finditer("[^\r\x0b]+", t):
+            if not m[0].replace("\x00", "").strip() or m[0].strip() == "*":
+                continue
+            got: list[Run] = []
+            for c, (bold, italic) in zip(m[0], look[m.start() : m.end()]):
+                if got and (got[-1].bold, got[-1].italic) == (bold, italic):
+                    got[-1].text += c.replace("\x00", "")
+                else:
+                    got.append(Run(c.replace("\x00", ""), bold, italic))
+            lines.append((m[0].replace("\x00", ""), got, *styles.paragraph(m.start())))
         if not lines:
             return
         if k in (0, 6):
-            out.blocks.append(Block("heading", runs=[Run(" ".join(lines))], level=2))
+            out.blocks.append(Block("heading", runs=[Run(" ".join(x[0] for x in lines))], level=2))
         elif k in (1, 5, 7, 8):
-            from .model import Item
-
-            out.blocks.append(Block("list", items=[Item([Block("paragraph", runs=[Run(x)])]) for x in lines]))
+            entries: list = []
+            for _, rs, level, bullet in lines:
+                if bullet is False:
+                    out.blocks.extend(fold_list(entries))
+                    entries = []
+                    out.blocks.append(Block("paragraph", runs=rs))
+                else:
+                    entries.append((level, "", 1, [Block("paragraph", runs=rs)], None))
+            out.blocks.extend(fold_list(entries))
         elif k == 2:
-            out.blocks.append(Block("quote", blocks=[Block("paragraph", runs=[Run(x)]) for x in lines]))
+            out.blocks.append(Block("quote", blocks=[Block("paragraph", runs=x[1]) for x in lines]))
         else:
-            out.blocks += [Block("paragraph", runs=[Run(x)]) for x in lines]
+            out.blocks += [Block("paragraph", runs=x[1]) for x in lines]
 
     def walk(a: int, b: int, depth: int, inside: bool) -> None:
         nonlocal kind
@@ -439,12 +463,15 @@ def ppt(data: bytes) -> Document:
             if ver & 15 == 15:
                 walk(a + 8, end, depth + 1, inside or typ == 4080)
             elif typ == 3999 and size >= 4:
+                emit(StyleRuns())
                 kind = struct.unpack_from("<I", s, a + 8)[0]
-            elif inside and typ == 4000:
-                emit(s[a + 8 : end].decode("utf-16-le", "replace"), kind)
-            elif inside and typ == 4008:
-                emit(s[a + 8 : end].decode("latin-1"), kind)
+            elif inside and typ in (4000, 4008):
+                emit(StyleRuns())
+                waiting.append((s[a + 8 : end].decode("utf-16-le" if typ == 4000 else "latin-1", "replace"), kind))
+            elif inside and typ == 4001 and waiting:
+                emit(parse_style_text(s[a + 8 : end], len(waiting[0][0])))
             a = end if end > a else b
+        emit(StyleRuns())
 
     walk(0, len(s), 0, False)
     if not out.blocks:
