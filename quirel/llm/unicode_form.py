@@ -86,8 +86,10 @@ def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-def _letter_script(c: Column) -> Column:
-    return F.when(~c.rlike(r"^\p{L}"), "").when(c.rlike(rf"^[\p{{IsLatin}}&&[^{NOT_LATIN}]]"), LATIN).otherwise(OTHER)
+def _letter_script(cp: Column, c: Column) -> Column:
+    """Script of a letter, empty for other characters; ASCII, which most are, is told by number."""
+    plain = F.when(cp.between(97, 122) | cp.between(65, 90), LATIN).otherwise("")
+    return F.when(cp < 128, plain).when(~c.rlike(r"^\p{L}"), "").when(c.rlike(rf"^[\p{{IsLatin}}&&[^{NOT_LATIN}]]"), LATIN).otherwise(OTHER)
 
 
 def fix_tokens(tokens: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def fix_tokens(tokens: DataFrame) -> DataFrame:
     chars = tokens.select("token", F.posexplode(F.split("token", "")).alias("pos", "ch")).where("ch <> ''")
     chars = chars.withColumn("cp", F.expr("ascii(ch)"))  # Spark's ascii() gives the whole code point
     m = F.broadcast(mapping_table(spark))
-    x = chars.join(m, "cp", "left").withColumn("script", _letter_script(F.col("ch")))
+    x = chars.join(m, "cp", "left").withColumn("script", _letter_script(F.col("cp"), F.col("ch")))
     w = Window.partitionBy("token").orderBy("pos")
     inner = (F.col("script") != "") | F.col("kind").isin("hidden", "mark")
     x = x.withColumn("run", F.sum(F.when(inner, 0).otherwise(1)).over(w))
@@ -151,12 +153,15 @@ def normalize_forms(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def form_cases(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Keys of the texts with a case: the same token stage, without rebuilding whole texts."""
     ks = [f"__k{i}" for i in range(len(keys))]
-    recs = df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(text).alias("__t")).where(F.col("__t").rlike(DIRTY))
-    toks = recs.select(*ks, F.explode(F.regexp_extract_all("__t", F.lit(TOKENS), F.lit(0))).alias("token")).where(F.col("token").rlike(DIRTY)).distinct()
+    recs = df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], F.col(text).alias("__t")).where(is_dirty(F.col("__t")))
+    toks = recs.select(*ks, F.explode(F.split("__t", r"[ \t\r\n]+")).alias("token")).where(is_dirty(F.col("token")))
+    stretches = F.when(F.char_length("token") <= STRETCH, F.array("token")).otherwise(F.regexp_extract_all("token", F.lit(TOKENS), F.lit(0)))
+    toks = toks.select(*ks, F.explode(stretches).alias("token")).where(is_dirty(F.col("token"))).distinct()
     fixed = fix_tokens(toks.select("token").distinct()).where("is_case").select("token")
     hits = toks.join(fixed, "token", "left_semi").select(*ks).distinct()
     return hits.select(*[F.col(a).alias(k) for k, a in zip(keys, ks)])
 
 
 def is_dirty(c: Column) -> Column:
-    return c.rlike(DIRTY)
+    """Whether a text has a character outside the safe set; ASCII texts are told by their length in bytes."""
+    return ((F.octet_length(c) > F.char_length(c)) | F.contains(c, F.lit("\x7f"))) & c.rlike(DIRTY)
