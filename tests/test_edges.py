@@ -8,7 +8,7 @@ from edges import DATA, empty_dir, null_dir
 from quirel.plans import catalogue
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-LITERAL = {"supported_formats", "url_parts", "text_quality", "ordinals", "font_kind", "ocr_response", "cell_labels", "scripts", "numerals", "page_numbers_dropped"}
+LITERAL = {"cell_checks", "supported_formats", "url_parts", "text_quality", "ordinals", "font_kind", "ocr_response", "cell_labels", "scripts", "numerals", "page_numbers_dropped"}
 
 
 @pytest.fixture(scope="module")
