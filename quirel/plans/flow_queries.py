@@ -37,6 +37,31 @@ READING_ORDER = """WITH o AS (SELECT o_custkey AS result_id, row_number() OVER (
  UNION ALL SELECT result_id, 1, CAST(item_no AS INT), CASE WHEN n - half >= 3 AND r THEN 3 WHEN n > 1 THEN 2 ELSE 2 END, CAST(1 + CASE WHEN n - half >= 3 THEN item_no ELSE row_number() OVER (PARTITION BY result_id ORDER BY row_no, r) END AS INT) FROM c"""
 
 
+def page_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of the customers' pages: with twenty orders and more there are two."""
+    return geometry.columns(_customer_pages(spark, d))
+
+
+PAGE_COLUMNS = """WITH c AS (SELECT o_custkey AS result_id, count(*) AS n, CAST(ceil(count(*) / 2) AS BIGINT) AS half FROM orders GROUP BY o_custkey)
+ SELECT result_id, 1 AS page_no, k AS col_no, CAST(CASE k WHEN 1 THEN 50 ELSE 291 END AS DOUBLE) AS x1, CAST(CASE WHEN n >= 20 AND k = 1 THEN 291 WHEN n = 1 THEN 530 ELSE 530 END AS DOUBLE) AS x2, CAST(CASE WHEN n < 20 THEN n + 1 WHEN k = 1 THEN half + 1 ELSE n - half END AS INT) AS n_items FROM c, (VALUES (1), (2)) t(k) WHERE k = 1 OR n >= 20"""
+
+
+def merged_items(spark: SparkSession, d: str) -> DataFrame:
+    """The customers' pages with an item a word, merged again."""
+    it = _customer_pages(spark, d)
+    words = it.where("item_no > 0").withColumn("ws", F.split("text", " "))
+    words = words.select("*", F.posexplode("ws").alias("k", "word"))
+    before = F.when(F.col("k") == 0, 0).otherwise(F.char_length(F.array_join(F.slice("ws", F.lit(1), F.col("k")), "")) * 5 + F.col("k") * 2)
+    words = words.select("result_id", "page_no", (F.col("item_no") * 10 + F.col("k")).alias("item_no"), F.col("word").alias("text"), (F.col("x") + before).alias("x"), "y", (F.char_length("word") * 5.0).alias("width"), "font_size")
+    return geometry.merged(words.unionByName(it.where("item_no = 0")))
+
+
+MERGED_ITEMS = """WITH o AS (SELECT o_custkey AS result_id, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+ c AS (SELECT *, i > CAST(ceil(n / 2) AS BIGINT) AS r, i - CASE WHEN i > CAST(ceil(n / 2) AS BIGINT) THEN CAST(ceil(n / 2) AS BIGINT) ELSE 0 END AS row_no FROM o)
+ SELECT result_id, 1 AS page_no, 1 AS item_no, 'What was ordered' AS text, CAST(50 AS FLOAT) AS x, CAST(740 AS FLOAT) AS y, CAST(480 AS FLOAT) AS width FROM (SELECT DISTINCT result_id FROM c)
+ UNION ALL SELECT result_id, 1, CAST(1 + row_number() OVER (PARTITION BY result_id ORDER BY row_no, r) AS INT), 'an order with number ' || o, CAST(CASE WHEN r THEN 330 ELSE 50 END AS FLOAT), CAST(714 - 14 * row_no AS FLOAT), CAST(93 + 5 * length(CAST(o AS VARCHAR)) AS FLOAT) FROM c"""
+
+
 def borderless_tables(spark: SparkSession, d: str) -> DataFrame:
     """The orders' pages without what is drawn on them."""
     return geometry.tables(_order_pages(spark, d)[0])
@@ -129,6 +154,8 @@ TABLES_AND_TEXTS = r"""WITH x AS (SELECT result_id, unnest(string_split(markdown
 
 QUERIES = {
     "reading_order": (reading_order, READING_ORDER),
+    "page_columns": (page_columns, PAGE_COLUMNS),
+    "merged_items": (merged_items, MERGED_ITEMS),
     "borderless_tables": (borderless_tables, BORDERLESS),
     "layout_complexity": (layout_complexity, COMPLEXITY),
     "content_types": (content_types, CONTENT_TYPES),

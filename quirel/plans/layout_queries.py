@@ -295,14 +295,6 @@ MD_TABLE = "SELECT r_name AS region, '| key | name |' || chr(10) || '| --- | ---
 
 
 
-def merged_items(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.merged(table(spark, d, "pdf_item"))
-
-
-def page_columns(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.columns(table(spark, d, "pdf_item"))
-
-
 def region_text(spark: SparkSession, d: str) -> DataFrame:
     it = _items(spark, d)
     return geometry.region_text(it, layout.assign_regions(it, _regions(it)))
@@ -312,8 +304,6 @@ REGION_TEXT = REGION_ASSIGN.replace("WITH ", "WITH q AS (WITH ", 1) + ") SELECT
 
 
 QUERIES = {
-    "merged_items": (merged_items, None),
-    "page_columns": (page_columns, None),
     "region_text": (region_text, REGION_TEXT),
     "font_mode": (font_mode, FONT_MODE),
     "size_rarity": (size_rarity, SIZE_RARITY),
