@@ -41,7 +41,7 @@ def p2_entries(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     res = table(spark, d, "pdf_result").select("result_id", "markdown")
-    dirty = res.where(unicode_form.is_dirty(F.col("markdown")))
+    dirty = cut(res.where(unicode_form.is_dirty(F.col("markdown"))), "p3-dirty")
     bad = _garbled_results(spark, d, dirty).select("result_id").distinct()
     ok = dirty.join(bad, "result_id", "left_anti")
     texts = ok.select(F.lit("pdf_result").alias("tbl"), F.col("result_id").alias("rec_id"), F.col("markdown").alias("t"))

@@ -29,8 +29,10 @@ LOOKALIKE_GREEK = "οo αa ρp νv υu ιi κk τt χx γy ϲc ϳj ΑA ΒB ΕE 
 # Characters that show nothing.
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 # A token with none but these characters needs no work (ASCII, composed Latin letters, common punctuation, currency, shapes).
-SAFE_CLASS = r"\x00-\x7E¡-¬®-´¶-ıĴ-ňŊ-ž‐-‧‰-⁞₠-⃏←-⋿─-➿�"
-DIRTY = f"[^{SAFE_CLASS}]"
+SAFE_BEYOND = r"¡-¬®-´¶-ıĴ-ňŊ-ž‐-‧‰-⁞₠-⃏←-⋿─-➿�"
+SAFE_CLASS = r"\x00-\x7E" + SAFE_BEYOND
+# Only characters beyond ASCII are looked up in the whole class.
+DIRTY = rf"[\x7F-\x{{10FFFF}}&&[^{SAFE_BEYOND}]]"
 LATIN, OTHER = "L", "O"
 #: Characters of the longest stretch without white space that is taken as one token.
 STRETCH = 200
