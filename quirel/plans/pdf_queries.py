@@ -49,7 +49,7 @@ DRAWN_TABLES = f"""WITH g AS (SELECT l_orderkey AS result_id, count(*) AS n, str
 def tagged_pdf(rows: list[list[str]], mapped: bool, link: str, field: tuple[str, str]) -> bytes:
     """A tagged PDF of one page: a table whose cells are marked content, a link and a form field; mapped: roles by a role map."""
     row_role, cell_role = ("Zeile", "Zelle") if mapped else ("TR", "TD")
-    esc = lambda s: s.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    esc = lambda s: (s or "").encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
     body, objs, trs = b"", {}, []
     first = 10
     for i, r in enumerate(rows):
@@ -79,7 +79,7 @@ def tagged_pdf(rows: list[list[str]], mapped: bool, link: str, field: tuple[str,
 
 def _customer_files(spark: SparkSession, d: str) -> DataFrame:
     """A tagged PDF for each customer with orders: a table of them."""
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("os"))
+    o = table(spark, d, "orders").where("o_custkey IS NOT NULL").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("os"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,7 +93,7 @@ def tagged_tables(spark: SparkSession, d: str) -> DataFrame:
     return C.pdf_tables(_customer_files(spark, d))
 
 
-TAGGED_TABLES = """SELECT o_custkey AS doc_id, 1 AS page_no, 1 AS table_no, 'tagged' AS detector, CAST(count(*) + 1 AS INT) AS n_rows, 3 AS n_cols, '|order|state|priority|' || chr(10) || '|---|---|---|' || chr(10) || string_agg('|N' || o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority || '|', chr(10) ORDER BY o_orderkey) AS markdown, CAST(NULL AS VARCHAR) AS error_code FROM orders GROUP BY o_custkey"""
+TAGGED_TABLES = """SELECT o_custkey AS doc_id, 1 AS page_no, 1 AS table_no, 'tagged' AS detector, CAST(count(*) + 1 AS INT) AS n_rows, 3 AS n_cols, '|order|state|priority|' || chr(10) || '|---|---|---|' || chr(10) || string_agg('|N' || o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority || '|', chr(10) ORDER BY o_orderkey) AS markdown, CAST(NULL AS VARCHAR) AS error_code FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey"""
 
 
 def structure_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def structure_elements(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("doc_id", "struct_role").agg(F.count(F.lit(1)).alias("n"), F.count("mcid").alias("marked"), F.max("alt_text").alias("alt_text"))
 
 
-STRUCTURE_ELEMENTS = """WITH g AS (SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY o_custkey)
+STRUCTURE_ELEMENTS = """WITH g AS (SELECT o_custkey AS doc_id, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)
  SELECT doc_id, 'Table' AS struct_role, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS marked, 'orders' AS alt_text FROM g UNION ALL SELECT doc_id, 'TR', n + 1, 0, NULL FROM g UNION ALL SELECT doc_id, 'TH', 3, 3, NULL FROM g UNION ALL SELECT doc_id, 'TD', 3 * n, 3 * n, NULL FROM g"""
 
 
@@ -110,14 +110,14 @@ def pdf_links(spark: SparkSession, d: str) -> DataFrame:
     return C.pdf_links(_customer_files(spark, d))
 
 
-PDF_LINKS = "SELECT o_custkey AS doc_id, 1 AS page_no, CAST(50 AS DOUBLE) AS x1, CAST(10 AS DOUBLE) AS y1, CAST(200 AS DOUBLE) AS x2, CAST(20 AS DOUBLE) AS y2, 'http://x.invalid/' || o_custkey AS target, CAST(NULL AS VARCHAR) AS error_code FROM orders GROUP BY o_custkey"
+PDF_LINKS = "SELECT o_custkey AS doc_id, 1 AS page_no, CAST(50 AS DOUBLE) AS x1, CAST(10 AS DOUBLE) AS y1, CAST(200 AS DOUBLE) AS x2, CAST(20 AS DOUBLE) AS y2, 'http://x.invalid/' || o_custkey AS target, CAST(NULL AS VARCHAR) AS error_code FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey"
 
 
 def pdf_fields(spark: SparkSession, d: str) -> DataFrame:
     return C.pdf_fields(_customer_files(spark, d))
 
 
-PDF_FIELDS = "SELECT o_custkey AS doc_id, 'customer' AS name, 'Tx' AS kind, 1 AS page_no, 'C' || o_custkey AS value, CAST(NULL AS VARCHAR) AS error_code FROM orders GROUP BY o_custkey"
+PDF_FIELDS = "SELECT o_custkey AS doc_id, 'customer' AS name, 'Tx' AS kind, 1 AS page_no, 'C' || o_custkey AS value, CAST(NULL AS VARCHAR) AS error_code FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey"
 
 QUERIES = {
     "drawn_tables": (drawn_tables, DRAWN_TABLES),
