@@ -75,3 +75,18 @@ def financial_values(s: Column) -> Column:
     one = rf"(?:\$\s+{FIGURE}|{FIGURE}|{DASH})"
     values = F.transform(F.regexp_extract_all(s, F.lit(rf"(?:^|\s)({one})(?=\s|$)"), F.lit(1)), lambda v: F.regexp_replace(v, r"\s+", " "))
     return F.when(s.rlike(rf"^\s*{one}(?:\s+{one})*\s*$"), values)
+
+
+def blocked_ipv6(ip: Column) -> Column:
+    """Loopback, unspecified, unique local and link-local addresses, and private ones of the older kind written in the newer; null if it is no address."""
+    from .text import blocked_ipv4
+
+    low = F.lower(ip)
+    mapped = F.regexp_extract(low, r"^::ffff:([0-9.]+)$", 1)
+    own = low.rlike(r"^(?:::1?|0*(?::0*){6,7}:?0*1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$")
+    return F.when(low.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*$"), own | F.coalesce(blocked_ipv4(mapped), F.lit(False)))
+
+
+def new_id(prefix: str) -> Column:
+    """A new identifier with a prefix; another one each time it is computed."""
+    return F.concat(F.lit(f"{prefix}_"), F.uuid())

@@ -94,3 +94,10 @@ def test_checks(spark):
     assert [tuple(r) for r in ok] == [(True, True), (False, False), (True, False), (False, False), (False, False)]
     depth = [r[0] for r in spark.createDataFrame([("1",), ('{"a":[1,{"b":"]]}"}]}',), ('"\\"[["',), (None,)], "j string").select(K.json_depth(F.col("j"))).collect()]
     assert depth == [0, 3, 0, None]
+
+
+def test_addresses_and_ids(spark):
+    rows = [("::1", True), ("::", True), ("fd12::1", True), ("fe80::1", True), ("::ffff:10.0.0.1", True), ("::ffff:93.184.216.34", False), ("2606:2800:220:1::1", False), ("0:0:0:0:0:0:0:1", True), ("10.0.0.1", None), (None, None)]
+    got = spark.createDataFrame(rows, "ip string, want boolean").select("ip", "want", K.blocked_ipv6(F.col("ip")).alias("got"), K.new_id("run").alias("id")).collect()
+    assert [r["got"] for r in got] == [w for _, w in rows], [(r["ip"], r["got"]) for r in got]
+    assert len({r["id"] for r in got}) == len(rows) and all(r["id"].startswith("run_") for r in got)
