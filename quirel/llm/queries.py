@@ -126,6 +126,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
 
+def p7_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Per source of the mixture: its documents with a text, whether all that it gives are its own, whether the copies of no two of them differ by
+    more than one, and whether none is taken more often than allowed."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_target").where("source IS NOT NULL").dropDuplicates(["source"])
+    mixed = mixing.mixture(docs, table(spark, d, "mix_target")).groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    own = docs.where("text <> ''").select("source", "doc_id").distinct().join(mixed.withColumnRenamed("source", "s"), "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    g = own.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.max("copies").alias("most"), F.min("copies").alias("least"), F.max(F.coalesce(F.col("s") != F.col("source"), F.lit(False))).alias("other"))
+    return g.join(F.broadcast(targets), "source").select("source", "n_docs", (~F.col("other")).alias("own"), (F.col("most") - F.col("least") <= 1).alias("even"), (F.col("most") <= F.col("max_repeat")).alias("within"))
+
+
 def _p8_segments(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return language.stretches(docs, language.train(docs, table(spark, d, "lang_alias")))
@@ -147,7 +157,7 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p8_found, p8_pages, p8_stretches, p7_mixture, p7_shares, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p4_cover, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
+    return {f.__name__: f for f in (p8_found, p8_pages, p8_stretches, p7_mixture, p7_shares, p7_caps, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p4_cover, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
 
 
 P1_STATS = rf"""WITH t AS (SELECT result_id, CASE WHEN trim(translate(markdown, chr(10) || chr(9) || chr(13), '   '), ' ') <> '' THEN markdown END AS t FROM pdf_result),
@@ -164,6 +174,7 @@ P5_FOUND = r"""WITH w AS (SELECT result_id, regexp_extract_all(lower(coalesce(ti
 
 P4_COVER = """SELECT DISTINCT 'pdf_result' AS tbl, result_id AS rec_id, -1 AS block_no, md5(markdown) AS md5, true AS ok FROM pdf_result WHERE length(markdown) > (SELECT max_chars FROM split_limit WHERE tbl = 'pdf_result')
  UNION SELECT DISTINCT 'doc_block', file_id, block_no, md5(text), true FROM doc_block WHERE length(text) > (SELECT max_chars FROM split_limit WHERE tbl = 'doc_block')"""
+P7_CAPS = "SELECT d.source, count(DISTINCT doc_id) AS n_docs, true AS own, true AS even, true AS within FROM documents d JOIN (SELECT DISTINCT source FROM mix_target) m ON d.source = m.source WHERE text <> '' GROUP BY d.source"
 P5_GROUPS = r"""WITH RECURSIVE w AS (SELECT result_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || markdown), '[\p{L}\p{N}]+') AS w FROM pdf_result WHERE markdown <> ''),
  s AS (SELECT result_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30), k AS (SELECT result_id, s, md5(array_to_string(list_sort(s), '|')) AS k FROM s),
  m AS (SELECT result_id, s, min(result_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS class_size FROM k), u AS (SELECT result_id, len(s) AS n, unnest(s) AS g FROM m WHERE result_id = class_id),
@@ -173,4 +184,4 @@ P5_GROUPS = r"""WITH RECURSIVE w AS (SELECT result_id, regexp_extract_all(lower(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_stats": P1_STATS, "p4_found": P4_FOUND, "p4_cover": P4_COVER, "p5_found": P5_FOUND, "p5_groups": P5_GROUPS}
+    return {"p1_stats": P1_STATS, "p4_found": P4_FOUND, "p4_cover": P4_COVER, "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p7_caps": P7_CAPS}
