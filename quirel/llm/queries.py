@@ -156,8 +156,22 @@ def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
     return _p8_segments(spark, d).withColumnRenamed("id", "doc_id").withColumn("confidence", F.round("confidence", 6))
 
 
+def p8_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Per page with letters: whether its stretches follow one another from its first word on and hold all of its letters."""
+    g = _p8_segments(spark, d).groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.max("seg_no").alias("last"), F.min("first_word").alias("first"), F.sum("n_words").alias("words"), F.max(F.col("first_word") + F.col("n_words")).alias("end"), F.sum("n_chars").alias("chars"), F.max("page_chars").alias("all"))
+    return g.select("doc_id", ((F.col("n") == F.col("last")) & (F.col("first") == 0) & (F.col("words") == F.col("end")) & (F.col("chars") == F.col("all"))).alias("whole"))
+
+
+def p3_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The forms of texts of ASCII alone: they stay as they are and are no case."""
+    forms = p3_forms(spark, d).where(~F.col("text_form").rlike(r"[^\x00-\x7E]"))
+    t = table(spark, d, "pdf_result").select(F.lit("pdf_result").alias("tbl"), F.col("result_id").alias("rec_id"), F.col("markdown").alias("t"))
+    t = t.unionByName(table(spark, d, "struct_element").select(F.lit("struct_element").alias("tbl"), F.col("elem_id").alias("rec_id"), F.col("actual_text").alias("t"))).where(~F.col("t").rlike(r"[^\x00-\x7E]"))
+    return forms.join(t.select("tbl", "rec_id"), ["tbl", "rec_id"], "left_semi").select("tbl", "rec_id", F.md5("text_form").alias("md5"), "is_case").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p8_found, p8_pages, p8_stretches, p7_mixture, p7_shares, p7_caps, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p4_cover, p2_found, p2_repaired, p2_entries, p3_found, p3_forms)}
+    return {f.__name__: f for f in (p8_found, p8_pages, p8_stretches, p8_cover, p7_mixture, p7_shares, p7_caps, p6_found, p6_passages, p5_found, p5_groups, p1_found, p1_kinds, p1_stats, p4_found, p4_pieces, p4_cover, p2_found, p2_repaired, p2_entries, p3_found, p3_forms, p3_plain)}
 
 
 P1_STATS = rf"""WITH t AS (SELECT result_id, CASE WHEN trim(translate(markdown, chr(10) || chr(9) || chr(13), '   '), ' ') <> '' THEN markdown END AS t FROM pdf_result),
@@ -174,6 +188,9 @@ P5_FOUND = r"""WITH w AS (SELECT result_id, regexp_extract_all(lower(coalesce(ti
 
 P4_COVER = """SELECT DISTINCT 'pdf_result' AS tbl, result_id AS rec_id, -1 AS block_no, md5(markdown) AS md5, true AS ok FROM pdf_result WHERE length(markdown) > (SELECT max_chars FROM split_limit WHERE tbl = 'pdf_result')
  UNION SELECT DISTINCT 'doc_block', file_id, block_no, md5(text), true FROM doc_block WHERE length(text) > (SELECT max_chars FROM split_limit WHERE tbl = 'doc_block')"""
+P8_COVER = r"SELECT doc_id, true AS whole FROM documents WHERE regexp_matches(text, '\p{L}')"
+P3_PLAIN = r"""SELECT DISTINCT 'pdf_result' AS tbl, result_id AS rec_id, md5(markdown) AS md5, false AS is_case FROM pdf_result WHERE NOT regexp_matches(markdown, '[^\x00-\x7E]')
+ UNION SELECT DISTINCT 'struct_element', elem_id, md5(actual_text), false FROM struct_element WHERE NOT regexp_matches(actual_text, '[^\x00-\x7E]')"""
 P7_CAPS = "SELECT d.source, count(DISTINCT doc_id) AS n_docs, true AS own, true AS even, true AS within FROM documents d JOIN (SELECT DISTINCT source FROM mix_target) m ON d.source = m.source WHERE text <> '' GROUP BY d.source"
 P5_GROUPS = r"""WITH RECURSIVE w AS (SELECT result_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || markdown), '[\p{L}\p{N}]+') AS w FROM pdf_result WHERE markdown <> ''),
  s AS (SELECT result_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30), k AS (SELECT result_id, s, md5(array_to_string(list_sort(s), '|')) AS k FROM s),
@@ -184,4 +201,4 @@ P5_GROUPS = r"""WITH RECURSIVE w AS (SELECT result_id, regexp_extract_all(lower(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_stats": P1_STATS, "p4_found": P4_FOUND, "p4_cover": P4_COVER, "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p7_caps": P7_CAPS}
+    return {"p1_stats": P1_STATS, "p4_found": P4_FOUND, "p4_cover": P4_COVER, "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p7_caps": P7_CAPS, "p8_cover": P8_COVER, "p3_plain": P3_PLAIN}
