@@ -44,12 +44,12 @@ HEADING_LEVELS = rf"""WITH RECURSIVE {LINES}, z AS (SELECT DISTINCT l.result_id,
 
 
 def overused_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Trees whose writer has tagged every paragraph as a heading."""
-    e = table(spark, d, "struct_element").withColumn("struct_role", F.when(F.col("struct_role") == "P", "H2").otherwise(F.col("struct_role")))
+    """Trees of forms printed twelve times over, whose writer has tagged every paragraph as a heading."""
+    e = table(spark, d, "struct_element").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("struct_role", F.when(F.col("struct_role") == "P", "H2").otherwise(F.col("struct_role")))
     return lines.overused_levels(e)
 
 
-OVERUSED = "WITH h AS (SELECT result_id, mcid, CASE WHEN struct_role = 'P' THEN 'H2' ELSE struct_role END AS struct_role FROM struct_element), g AS (SELECT result_id, struct_role, count(*) AS n FROM h WHERE struct_role IS NOT NULL AND mcid IS NOT NULL GROUP BY ALL), a AS (SELECT *, sum(n) OVER (PARTITION BY result_id) AS t FROM g) SELECT result_id, struct_role, n, round(n / t, 6) AS share FROM a WHERE regexp_matches(struct_role, '^H[1-6]?$') AND t >= 20 AND n > 0.15 * t"
+OVERUSED = "WITH h AS (SELECT result_id, mcid, CASE WHEN struct_role = 'P' THEN 'H2' ELSE struct_role END AS struct_role FROM struct_element, range(12)), g AS (SELECT result_id, struct_role, count(*) AS n FROM h WHERE struct_role IS NOT NULL AND mcid IS NOT NULL GROUP BY ALL), a AS (SELECT *, sum(n) OVER (PARTITION BY result_id) AS t FROM g) SELECT result_id, struct_role, n, round(n / t, 6) AS share FROM a WHERE regexp_matches(struct_role, '^H[1-6]?$') AND t >= 20 AND n > 0.15 * t"
 
 
 def _strokes(spark: SparkSession, d: str) -> DataFrame:
