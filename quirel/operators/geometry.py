@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from statistics import mean
+from statistics import mean as exact_mean
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +18,14 @@ from pyspark.sql import functions as F
 Item = dict
 
 
+def mean(values: list[float]) -> float:
+    """statistics.mean, told at once of one place, of places that are all the same and of two (halves are exact)."""
+    a = values[0] if type(values) is list and values else None
+    if type(a) is float and values.count(a) == len(values):
+        return a
+    return (a + values[1]) / 2 if type(a) is float and len(values) == 2 and type(values[1]) is float else exact_mean(values)
+
+
 def merge_items(items: list[Item]) -> list[Item]:
     """Items of one line (within 5 points) joined while style and size agree and the gap is between -0.5 and 0.5 em.
 
